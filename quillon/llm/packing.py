@@ -12,7 +12,6 @@ packed once per row; an empty table gives an empty result; columns besides the t
 from __future__ import annotations
 
 import heapq
-import re
 import sys
 import zlib
 
@@ -23,22 +22,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import cut
-from ._text import Chunk, chunks, id_array, ragged
+from ._text import Chunk, Words, chunks, id_array, ragged
 
-#: Stems remembered per Python worker; beyond it the memory starts afresh.
-MEMORY = 400_000
+#: Distinct parts of words remembered per Python worker; beyond it the memory starts afresh.
+MEMORY = 1_500_000
+
+_LETTER, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_PUNCT[list(b".,;:!?\"#$%&*|()<>-_=+/")] = True
 
 
 class WordTokenizer:
-    """Ids of a word-level BPE file, through a memory of distinct words.
+    """Ids of a word-level BPE file, through a memory of distinct parts of words.
 
-    Its pre-tokenizer never joins what white space parts, so a text's ids are its words' ids one after the
-    other. A word of letters and then punctuation is two pre-tokens, each ended by a ``</w>`` piece; only
-    unseen ones go to the library, many to a call.
+    Its pre-tokenizer never joins what white space parts and ignores case, so a text's ids are those of its words
+    one after the other. A word of Latin letters and then punctuation is two pre-tokens, each ended by a ``</w>``
+    piece: unseen ones go to the library many to a call. Any other word is handed over on its own.
     """
 
-    _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?\"#$%&*|()]*)")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -46,7 +47,10 @@ class WordTokenizer:
         vocab = self.lib.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.begin, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     @classmethod
     def shared(cls, path: str) -> WordTokenizer:
@@ -55,48 +59,67 @@ class WordTokenizer:
             held[path] = cls(path)
         return held[path]
 
-    def _learn(self, parts: list[str]) -> None:
-        """parts: strings that are one pre-token each."""
-        if len(self.known) > MEMORY:
-            self.known = {"": b""}
-        for i in range(0, len(parts), 2000):
-            some = parts[i : i + 2000]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            assert len(cuts) == len(some), "a part is not one pre-token"
-            raw, begin = ids.astype("<u4").tobytes(), 0
-            for part, end in zip(some, cuts.tolist()):
-                self.known[part] = raw[4 * begin : 4 * end]
-                begin = end
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word."""
-        split = [self._SIMPLE.fullmatch(w) for w in words]
-        odd = [w for w, m in zip(words, split) if m is None]
-        plain = [(m[1].lower(), m[2]) for m in split if m is not None]
-        for batch in range(0, len(plain), MEMORY // 4):
-            some = plain[batch : batch + MEMORY // 4]
-            new = list(dict.fromkeys(p for pair in some for p in pair if p not in self.known))
-            if new:
-                self._learn(new)
-                # what was forgotten on the way is learnt again
-                again = list(dict.fromkeys(p for pair in some for p in pair if p not in self.known))
-                if again:
-                    self._learn(again)
-            plain[batch : batch + MEMORY // 4] = [self.known[a] + self.known[b] for a, b in some]
-        rest = iter(np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(odd, add_special_tokens=False)) if odd else iter(())
-        done = iter(plain)
-        return [next(rest) if m is None else next(done) for m in split]
+    def _plain(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and their counts for parts that are one pre-token each."""
+        ids, counts = [], []
+        for i in range(0, len(start), 4000):
+            size = end[i : i + 4000] - start[i : i + 4000]
+            text = np.full(int(size.sum()) + len(size), 32, np.uint8)
+            text[ragged(np.cumsum(size + 1) - size - 1, size)] = data[ragged(start[i : i + 4000], size)]
+            found = np.array(self.lib.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            assert len(cuts) == len(size), "a part is not one pre-token"
+            ids.append(found)
+            counts.append(np.diff(cuts, prepend=0))
+        return ids, counts
+
+    def lookup(self, words: Words, data: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of the pool for the two parts of each word: arrays (n, 2) of begins and sizes."""
+        if len(self.keys) > MEMORY:
+            self.forget()
+        start, end = words.start[which], words.end[which]
+        punct = _PUNCT[data]
+        stem_end = np.maximum(np.maximum.accumulate(np.where(punct, -1, np.arange(len(data))))[end - 1] + 1, start) if len(which) else end
+        lead, tail = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        lead[:-1], tail[1:] = latin, latin
+        other = np.flatnonzero(~(_LETTER[data] | lead | tail))
+        odd = np.searchsorted(other, start) < np.searchsorted(other, stem_end)
+        stem_end = np.where(odd, end, stem_end)
+        bounds = np.stack([start, stem_end, end], 1)
+        key = np.stack([words.bytes.span(bounds[:, 0], bounds[:, 1]), words.bytes.span(bounds[:, 1], bounds[:, 2])], 1)
+        flat, first = np.unique(key, return_index=True)
+        at = np.minimum(np.searchsorted(self.keys, flat), max(len(self.keys) - 1, 0))
+        first = first[self.keys[at] != flat] if len(self.keys) else first
+        if len(first):
+            row, side = first // 2, first % 2
+            a, b = bounds[row, side], bounds[row, side + 1]
+            alone = odd[row] & (side == 0) & (a < b)
+            plain = ~alone & (a < b)
+            ids, counts = self._plain(data, a[plain], b[plain])
+            raw = data.tobytes()
+            for e in self.lib.encode_batch_fast([raw[x:y].decode("utf-8", "replace") for x, y in zip(a[alone].tolist(), b[alone].tolist())], add_special_tokens=False) if alone.any() else ():
+                ids.append(np.array(e.ids, "<u4"))
+                counts.append(np.array([len(ids[-1])]))
+            sizes = np.concatenate([*counts, np.zeros(1, np.int64)])  # the empty part comes last, if it does
+            new = np.concatenate([key.ravel()[first[plain]], key.ravel()[first[alone]], key.ravel()[first[a == b]]])
+            sizes = sizes[: len(new)]
+            begins = len(self.pool) + np.cumsum(sizes) - sizes
+            self.pool = np.concatenate([self.pool, *ids])
+            keys = np.concatenate([self.keys, new])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.begin, self.size = keys[order], np.concatenate([self.begin, begins])[order], np.concatenate([self.size, sizes])[order]
+        at = np.searchsorted(self.keys, key)
+        return self.begin[at], self.size[at]
 
 
 def encode_chunk(tok: WordTokenizer, chunk: Chunk, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a chunk's documents, each ended by end_id, and offsets by document."""
-    words = chunk.words()
+    words = chunk.words(lower=True)
     _, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-    raw = chunk.data.tobytes()
-    found = tok.encode_words([raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first].tolist(), words.end[first].tolist())])
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    pool = np.frombuffer(b"".join(found), "<u4")
+    begin, size = tok.lookup(words, chunk.data, first)
+    pool = tok.pool[ragged(begin.ravel(), size.ravel())]
+    sizes = size.sum(1)
     starts = np.cumsum(sizes) - sizes
     # the end token is one more word at the end of each document
     n = len(chunk)
@@ -160,7 +183,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
         tok = WordTokenizer.shared(tokenizer_path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for chunk in chunks(batches, most=1 << 20, id_col="doc_id", text_col="text"):
+        for chunk in chunks(batches, id_col="doc_id", text_col="text"):
             ids, offsets = encode_chunk(tok, chunk, end_id)
             total = np.diff(offsets)
             cuts = -(-total // capacity)

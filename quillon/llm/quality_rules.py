@@ -47,8 +47,8 @@ _UPPER, _LETTER = _table(bytes(range(65, 91))), _table(bytes([*range(65, 91), *r
 
 
 def _sums(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return total[end] - total[start]
+    at = np.flatnonzero(flags)
+    return np.searchsorted(at, end) - np.searchsorted(at, start)
 
 
 def _nth_equal(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
