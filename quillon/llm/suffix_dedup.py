@@ -29,8 +29,8 @@ GRAM = 30
 _C = U64(0xD1342543DE82EF95)
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of text in the order of their first ``depth`` bytes at least.
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffixes of text in order.
 
     Larsson and Sadakane: sort by some leading bytes, then refine the groups that still tie by the rank of the
     suffix that starts where the compared bytes end, doubling their number each time.
@@ -50,7 +50,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         begin = np.flatnonzero(first)
         rank[order] = np.repeat(begin, np.diff(np.append(begin, n)))
         tied = np.flatnonzero(~(first & np.append(first[1:], True)))
-        if done >= depth or not len(tied):
+        if not len(tied):
             return order
         at = order[tied]
         group, nxt = rank[at], rank[np.minimum(at + done, n)]
@@ -175,7 +175,7 @@ class _Shard:
         text = self.data[np.minimum(place, len(self.data) - 1)] if len(place) else np.zeros(0, np.uint8)
         tails = np.cumsum(size) - 1
         text[tails] = 0xFF  # in no UTF-8 text: no window that holds it equals one that doesn't
-        order = suffix_array(text, w)
+        order = suffix_array(text)
         fresh = common_prefixes(text, order, w) < w
         whole = np.ones(len(text), bool)
         whole[ragged(tails - np.minimum(size, w) + 1, np.minimum(size, w))] = False
