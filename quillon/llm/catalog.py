@@ -19,6 +19,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .secret_scan import redacted, scan
+
+    found = scan(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    secrets = F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda c: c["secret"]))), " ")
+    return found.select("doc_id", "n_candidates", F.size("findings").alias("n_secrets"), secrets.alias("secrets"), F.sha2(F.coalesce(redacted(), F.lit("")), 256).alias("redacted_sha256"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -48,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op3_substring_dedup, op6_suffix_dedup, op9_topk_search, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_substring_dedup, op6_suffix_dedup, op9_topk_search, op10_quality_rules)}
 
 
 ORACLE = {
