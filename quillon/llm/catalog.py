@@ -37,6 +37,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify, train
+
+    docs = documents(spark, sf_dir)
+    return classify(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -58,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_substring_dedup, op6_suffix_dedup, op9_topk_search, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_substring_dedup, op5_quality_classifier, op6_suffix_dedup, op9_topk_search, op10_quality_rules)}
 
 
 ORACLE = {
