@@ -37,6 +37,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .sentencepiece_codec import decode, encode
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    back = decode(encode(documents(spark, sf_dir), path), path)
+    return back.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify, train
 
@@ -65,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_substring_dedup, op5_quality_classifier, op6_suffix_dedup, op9_topk_search, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_substring_dedup, op4_sentencepiece, op5_quality_classifier, op6_suffix_dedup, op9_topk_search, op10_quality_rules)}
 
 
 ORACLE = {
