@@ -62,6 +62,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_corpus
+
+    return score_corpus(documents(spark, sf_dir))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk_search import topk
 
@@ -75,7 +81,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_substring_dedup, op4_sentencepiece, op5_quality_classifier, op6_suffix_dedup, op9_topk_search, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_substring_dedup, op4_sentencepiece, op5_quality_classifier, op6_suffix_dedup, op7_lm_scoring, op9_topk_search, op10_quality_rules)}
 
 
 ORACLE = {
