@@ -68,6 +68,12 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk_search import topk
 
@@ -81,7 +87,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_substring_dedup, op4_sentencepiece, op5_quality_classifier, op6_suffix_dedup, op7_lm_scoring, op9_topk_search, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_substring_dedup, op4_sentencepiece, op5_quality_classifier, op6_suffix_dedup, op7_lm_scoring, op8_jaccard_join, op9_topk_search, op10_quality_rules)}
 
 
 ORACLE = {
