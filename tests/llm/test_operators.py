@@ -1,0 +1,367 @@
+"""Operators against brute force and round trips on small tables, and their edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from quillon.llm import jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, suffix_dedup, topk_search
+from quillon.llm.catalog import tokenizer_file
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(n)) + "."
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    passage = sentence(rng, 70)
+    out = []
+    for i in range(60):
+        text = "\n".join(sentence(rng, rng.randint(5, 60)) for _ in range(rng.randint(1, 5)))
+        if i % 7 == 0:
+            text = text + "\n" + passage
+        out.append([i, text])
+    base = sentence(rng, 160)
+    for i in range(60, 76):  # near copies
+        words = base.split()
+        words[rng.randrange(len(words))] = "changed"
+        out.append([i, " ".join(words)])
+    out += [[80, base], [81, base], [81, base], [82, None], [83, ""], [84, " \n\t "], [85, "one"], [86, "One two"], [87, "one two"], [None, base], [None, passage], [88, "x" * 20_000], [89, "ab " * 9_000]]
+    out.append([90, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and a number 9807915762804490 here. More words follow in this line now.'])
+    return [(i, t, "en", "src/a", len(t or "")) for i, t in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def owner_key(i):
+    return float("inf") if i is None else i
+
+
+def test_packing(docs, empty, rows):
+    path = tokenizer_file("word_bpe_49k.json")
+    got = packing.pack(docs, path).collect()
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path)
+    want = sorted((owner_key(i), np.array(lib.encode(t or "", add_special_tokens=False).ids + [2], "<u4")) for i, t, *_ in rows if i != 81 and i is not None)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    for i, ids in want:
+        pieces = sorted(by[i], key=lambda r: r.start)
+        assert [p.start for p in pieces] == np.cumsum([0, *(p.length for p in pieces)])[:-1].tolist()
+        assert sum(p.length for p in pieces) == len(ids) == pieces[0].doc_tokens
+        assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in pieces)
+    assert len(by[81]) == 2 and None in by
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_shortest_pack_first_places_every_length():
+    rng = random.Random(1)
+    histogram = {n: rng.randint(1, 9) for n in rng.sample(range(1, 4097), 300)}
+    patterns = packing.shortest_pack_first(dict(histogram), 4096)
+    placed = {}
+    for packs, parts in patterns:
+        assert sum(n * k for n, k in parts) <= 4096
+        for n, k in parts:
+            placed[n] = placed.get(n, 0) + packs * k
+    assert placed == histogram
+    total = sum(n * k for n, k in histogram.items())
+    assert sum(p for p, _ in patterns) <= 1.1 * total / 4096 + 1
+
+
+def test_substring_dedup(docs, empty, rows):
+    first, found = {}, {}
+    for i, t, *_ in sorted(rows, key=lambda r: owner_key(r[0])):
+        w = words(t)
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), owner_key(i))
+    want = []
+    for i, t, *_ in rows:
+        w = words(t)
+        drop = [False] * len(w)
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < owner_key(i):
+                drop[k : k + 50] = [True] * 50
+        want.append((i, len(w), sum(drop), b" ".join(x for x, gone in zip(w, drop) if not gone).decode()))
+    got = [tuple(r) for r in substring_dedup.repeats(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_text").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(x[2] for x in want) > 1000
+    assert substring_dedup.repeats(empty).count() == 0
+    whole = {r.doc_id: r for r in substring_dedup.stage(docs).collect()}
+    assert whole[1].text == dict((r[0], r[1]) for r in rows)[1] and set(whole[1].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def test_suffix_dedup(docs, empty, rows):
+    first = {}
+    for i, t, *_ in sorted(rows, key=lambda r: owner_key(r[0])):
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], owner_key(i))
+    want = []
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        drop = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < owner_key(i):
+                drop[k : k + 50] = b"\1" * 50
+        spans = sum(1 for k in range(len(b)) if drop[k] and (not k or not drop[k - 1]))
+        want.append((i, len(b), sum(drop), spans, hashlib.sha256(bytes(x for x, gone in zip(b, drop) if not gone)).hexdigest()))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.suffix_dedup(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert suffix_dedup.suffix_dedup(empty).count() == 0
+
+
+def test_suffix_array_and_common_prefixes():
+    rng = np.random.default_rng(0)
+    for k in range(60):
+        text = rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(1, 300))).astype(np.uint8)
+        text = np.concatenate([text, text]) if k % 3 == 0 else text
+        b = text.tobytes()
+        order = suffix_dedup.suffix_array(text, 64)
+        assert sorted(order.tolist()) == list(range(len(b)))
+        assert all(b[x : x + 50] <= b[y : y + 50] for x, y in zip(order, order[1:]))
+
+        def common(x, y):
+            n = 0
+            while n < 50 and max(x, y) + n < len(b) and b[x + n] == b[y + n]:
+                n += 1
+            return n
+
+        assert suffix_dedup.common_prefixes(text, order, 50, lanes=7).tolist() == [0] + [common(x, y) for x, y in zip(order, order[1:])]
+
+
+def shingles(text):
+    w = re.sub("[A-Z]+", lambda m: m[0].lower(), text or "").encode().split()
+    return frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+
+
+def test_jaccard_join(docs, empty, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)  # components of many blocks, too
+    sets = [(i, shingles(t)) for i, t, *_ in rows]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+                parent[find(a)] = find(b)
+    names = {}
+    for k, (i, s) in enumerate(sets):
+        if i is not None:
+            names[find(k)] = min(names.get(find(k), i), i)
+    want = [(i, len(s), names.get(find(k)) if s else i) for k, (i, s) in enumerate(sets)]
+    got = [tuple(r) for r in jaccard_join.near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert jaccard_join.near_duplicates(empty).count() == 0
+    kept = {r.doc_id for r in jaccard_join.stage(docs).collect()}
+    assert {82, 83, 84, 85} <= kept and not kept & {61, 62, 81}
+
+
+def test_t_occurrence_finds_every_pair():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+    sets = []
+    for _ in range(90):
+        s = base.copy()
+        s[rng.integers(0, 200, int(rng.integers(0, 40)))] = rng.integers(0, 1 << 60)
+        sets.append(np.unique(s[: int(rng.integers(150, 200))]))
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90) if 100 * len(i := np.intersect1d(sets[a], sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - len(i))}
+    a, b = jaccard_join.t_occurrence(sets)
+    assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(2)
+    vectors = [(int(i), [float(x) for x in rng.normal(0, 0.2, 16)]) for i in range(300)]
+    vectors += [(300, vectors[0][1]), (301, None), (302, [float("nan")] * 16), (303, [None] * 16), (None, vectors[1][1]), (340, []), (360, [0.5] * 4)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    good = {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] + [0] * (16 - len(v)) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    want = []
+    for q, v in good.items():
+        if q % 20 == 0:
+            ranked = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good.items() if i != q)[:20]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)]
+    assert sorted(map(tuple, topk_search.topk(df).collect())) == sorted(want)
+    assert topk_search.topk(df.limit(0)).count() == 0
+
+
+def test_topk_stops_early_and_stays_exact():
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (500, 32))
+    v[:40] += rng.integers(20, 60, (40, 32))
+    block = topk_search.Block(np.arange(500), v)
+    at, row, score = block.search(np.arange(0, 500, 25), v[::25], 10)
+    exact = v[::25] @ v.T
+    for k, q in enumerate(range(0, 500, 25)):
+        ranked = sorted((-int(exact[k, j]), j) for j in range(500) if j != q)[:10]
+        assert [(-int(s), int(r)) for a, r, s in zip(at, row, score) if a == k] == ranked
+
+
+def test_quality_rules(docs, empty, rows, spark):
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, with_text=True).collect() if r.doc_id is not None}
+    for i, t, *_ in rows:
+        if i is None:
+            continue
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines, seen, dup = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)], set(), 0
+        for x in lines:
+            dup += x in seen
+            seen.add(x)
+        count = {}
+        for k in range(len(w) - 4):
+            count[tuple(w[k : k + 5])] = count.get(tuple(w[k : k + 5]), 0) + 1
+        repeated = {j for k in range(len(w) - 4) if count[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(repeated)), i
+        assert r.base_failed == (len(w) < 10 or 100 * len(repeated) > 20 * len(w))
+    assert got[1].kept and not got[82].kept and not got[89].kept
+    assert quality_rules.quality_rules(empty).count() == 0
+    junk = "\n".join(["Home | About | Contact | Login"] * 3 + ["A good sentence stands here, and it is long enough to stay."])
+    r = quality_rules.quality_rules(spark.createDataFrame([(1, junk)], "doc_id long, text string"), max_loss=0.9, with_text=True).first()
+    assert r.n_failed_lines == 3 and r.clean_text.startswith("A good sentence")
+    assert quality_rules.clean(docs).columns == docs.columns
+
+
+def test_secret_scan(docs, empty, spark):
+    found = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    assert [f.secret for f in found[90].findings] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"] and found[90].n_candidates == 2
+    assert not found[82].findings and not found[88].findings
+    assert secret_scan.scan(empty).count() == 0
+    text = {r.doc_id: r.text for r in secret_scan.stage(docs).collect()}
+    assert "04dbebab" not in text[90] and secret_scan.MASK in text[90] and text[82] is None
+
+
+def test_secret_forest_on_findings_it_has_not_seen(spark):
+    forest = secret_scan.train(spark)
+    other = secret_scan.labelled_findings(seed=99, each=30)
+    df = spark.createDataFrame([(i, t, p, y) for i, (t, p, y) in enumerate(other)], "doc_id int, text string, source string, y int")
+    rows = secret_scan.scan(df, forest=forest).collect()
+    right = sum((len(r.findings) > 0) == bool(r.y) for r in rows)
+    assert right >= 0.95 * len(rows)
+
+
+def test_sentencepiece(docs, empty, rows):
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = sentencepiece_codec.encode(docs, path)
+    want = sorted(((i, lib.encode(t or "")) for i, t, *_ in rows), key=str)
+    assert sorted(((r.doc_id, list(r.ids)) for r in got.collect()), key=str) == want
+    back = sorted(((r.doc_id, r.text) for r in sentencepiece_codec.decode(got, path).collect()), key=str)
+    assert back == sorted(((i, t or "") for i, t, *_ in rows), key=str)
+    assert sentencepiece_codec.encode(empty, path).count() == 0
+    rng = random.Random(0)
+    texts = ["".join(rng.choice("abcdeetaoin  \n\t.,019Àéß日🙂▁") for _ in range(rng.randint(0, 200))) for _ in range(300)] + ["a" * 3000, " " * 500, "aaab" * 300]
+    assert [np.frombuffer(x, "<u4").tolist() for x in sentencepiece_codec.Codec.shared(path).encode(texts)] == lib.encode(texts)
+
+
+def test_classifier(spark, empty):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(400):
+        good = i % 3 > 0
+        docs.append((i, sentence(rng, 40) if good else " ".join(x + "###" for x in sentence(rng, 40).split())))
+        labels.append((i, int(good)))
+    docs += [(400, None), (401, ""), (None, "some words")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels + [(5, None), (9999, 1)], "doc_id long, quality int")
+    model = quality_classifier.train(df, lab)
+    got = {r.doc_id: r for r in quality_classifier.classify(df, model).collect()}
+    truth = dict(labels)
+    held = [r for i, r in got.items() if i in truth and r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items() if i is not None)
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held) and 0 <= got[400].score <= 1
+    none = quality_classifier.train(df, lab.limit(0))
+    assert {r.score for r in quality_classifier.classify(df, none).collect()} == {0.5}
+    assert quality_classifier.classify(empty, model).count() == 0
+
+
+def test_lm(docs, empty, rows):
+    vocabulary, network = lm_scoring.train(docs)
+    got = lm_scoring.score(docs.select("doc_id", "text"), vocabulary, network).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and by[82].n_words == 0 and by[82].mean_log_prob is None and by[82].sum_log_prob == 0
+    assert all(r.n_words == len(words(dict((x[0], x[1]) for x in rows)[r.doc_id])) for r in got if r.doc_id not in (None, 81))
+    assert all(r.sum_log_prob < 0 for r in got if r.n_words)
+    assert lm_scoring.score_corpus(empty).count() == 0
+
+
+def test_network_is_a_distribution_and_learns():
+    rng = np.random.default_rng(0)
+    net = lm_scoring.Network()
+    context = rng.integers(0, lm_scoring.SIZE + 1, (1, 4))
+    every = np.arange(lm_scoring.SIZE)
+    lp, _ = net.forward(np.repeat(context, len(every), 0), every)
+    assert abs(np.exp(lp).sum() - 1) < 1e-3
+    word = rng.integers(0, 50, 4000)
+    context = np.stack([word, word, word + 1, word], 1)
+    before = net.forward(context, word)[0].mean()
+    for _ in range(60):
+        net.step(context, word, 1.0)
+    assert net.forward(context, word)[0].mean() > before + 1
+
+
+def test_components(spark):
+    from quillon.llm.components import components
+
+    rng = random.Random(4)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 380)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    loops = {a for a, b in edges if a == b}
+    assert {k: v for k, v in got.items()} == {k: find(k) for k in parent if k in got} and set(parent) - set(got) <= loops
+
+
+def test_clashing_columns(spark, rows):
+    df = spark.createDataFrame([(i, t, "x", 1, 2.0) for i, t, *_ in rows], "doc_id long, text string, part string, n_words int, score double")
+    n = len(rows)
+    assert quality_rules.quality_rules(df).count() == n
+    assert suffix_dedup.suffix_dedup(df).count() == n
+    assert jaccard_join.near_duplicates(df).count() == n
+    assert secret_scan.scan(df, path_col=None).count() == n
+    assert substring_dedup.repeats(df.select("doc_id", "text", "part")).count() == n
