@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def split(text: Column, by: str = " ") -> Column:
@@ -81,17 +82,17 @@ def line_patch(old: str, ops: list) -> str:
     return "".join(lines)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def diff_json(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else json.dumps(line_diff(a, b)) for a, b in zip(old, new)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def patch_json(old: pd.Series, ops: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or o is None else line_patch(a, json.loads(o)) for a, o in zip(old, ops)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     made = difflib.HtmlDiff(wrapcolumn=80)
     return pd.Series([made.make_table((a or "").splitlines(), (b or "").splitlines()) for a, b in zip(old, new)])
@@ -237,7 +238,7 @@ def fix_links(text: str, scheme_: str = "site:", base: str = "/", nofollow: bool
     return Cleaner(fix=lambda u: base + u[len(scheme_) :].lstrip("/") if u.startswith(scheme_) else u, nofollow=nofollow).done(text)
 
 
-def each(fn, kind: str = "string"):
+def each(fn, kind=StringType()):
     """A string function as an Arrow-batched column function; null stays null."""
 
     @F.pandas_udf(kind)
