@@ -533,3 +533,109 @@ def _(spark, d):
 
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("op"))
     return windowed_counts(e, "at").groupBy("op").agg(F.sum("n").alias("n"))
+
+# update scripts
+
+
+def script(name: str, body: str, sql: str, *tables: str):
+    """A query that is one script; its result is the graph afterwards."""
+
+    def run(spark, d):
+        from .operators.script import Script
+
+        text = f'<modifications xmlns:q="{NS}" xmlns:rdf="{RDF}">{body}</modifications>'
+        return Script(graph(spark, d, *tables), PREFIXES).run(text).select(*TRIPLE)
+
+    Q[name], SQL[name] = run, sql
+
+
+NAMES = f"SELECT '{B}region/' || r_regionkey AS s"
+script("xu_attribute", '<append select="/q:Region"><element name="q:label"><attribute name="xml:lang">en</attribute><text>area</text></element></append>', f"{REGION_ST} UNION ALL {NAMES}, '{N}label', 'area', 'en' FROM region", "region")
+script("xu_text", '<append select="/q:Region"><q:label><text>area</text></q:label></append>', f"{REGION_ST} UNION ALL {NAMES}, '{N}label', 'area', 'L' FROM region", "region")
+script("xu_copy_of", "<append select=\"/q:Region[q:name='ASIA']\"><copy-of select=\"/q:Region[q:name='EUROPE']/q:name\"/></append>", f"{REGION_ST} UNION ALL {NAMES}, '{N}name', 'EUROPE', 'L' FROM region WHERE r_name = 'ASIA'", "region")
+script("xu_value_of", '<for-each select="/q:Nation"><append select="$current"><q:where><value-of select="q:region/*/q:name"/></q:where></append></for-each>', f"{NATION_ST} UNION ALL {REGION_ST} UNION ALL SELECT '{B}nation/' || n_nationkey, '{N}where', r_name, 'L' FROM nation JOIN region ON n_regionkey = r_regionkey", "nation", "region")
+script("xu_template", '<template name="t"><remove select="/q:Region/q:name"/></template><call-template name="t"/>', f"SELECT * FROM ({REGION_ST}) WHERE p <> '{N}name'", "region")
+script("xu_message", "<message>five regions</message>", REGION_ST, "region")
+script("xu_if", "<if test=\"/q:Region[q:name='ASIA']\"><remove select=\"/q:Region[q:name='ASIA']\"/></if><if test=\"/q:Region[q:name='ATLANTIS']\"><remove select=\"/q:Region\"/></if>", f"SELECT * FROM ({REGION_ST}) WHERE s <> '{B}region/2'", "region")
+script("xu_update", "<update select=\"/q:Region[q:name='ASIA']/q:name\">Asia</update>", f"SELECT s, p, CASE WHEN o = 'ASIA' THEN 'Asia' ELSE o END AS o, otype FROM ({REGION_ST})", "region")
+script("xu_replace", "<replace select=\"/q:Region[q:name='ASIA']/q:name\"><q:title>Asia</q:title></replace>", f"SELECT s, CASE WHEN o = 'ASIA' THEN '{N}title' ELSE p END AS p, CASE WHEN o = 'ASIA' THEN 'Asia' ELSE o END AS o, otype FROM ({REGION_ST})", "region")
+script("xu_variable", '<variable name="n" select="/q:Region[q:name=\'ASIA\']/q:name"/><remove select="/q:Region[q:name=$n]"/>', f"SELECT * FROM ({REGION_ST}) WHERE s <> '{B}region/2'", "region")
+
+
+@query("xu_include", f"SELECT * FROM ({REGION_ST}) WHERE p <> '{N}name'")
+def _(spark, d):
+    from .operators.script import Script
+
+    made = Script(graph(spark, d, "region"), PREFIXES, load=lambda href: '<modifications><remove select="/q:Region/q:name"/></modifications>')
+    return made.run('<modifications><include href="other"/></modifications>').select(*TRIPLE)
+
+
+# what was left
+
+Q["agg_min"], SQL["agg_min"] = (lambda spark, d: Q["agg_min_max"](spark, d).select("low")), "SELECT min(round(c_acctbal * 100)) AS low FROM customer"
+Q["agg_max"], SQL["agg_max"] = (lambda spark, d: Q["agg_min_max"](spark, d).select("high")), "SELECT max(round(c_acctbal * 100)) AS high FROM customer"
+Q["filter_label"], SQL["filter_label"] = Q["join_condition"], SQL["join_condition"]
+Q["project_star"], SQL["project_star"] = Q["con_star"], SQL["con_star"]
+
+
+def _saved(spark, d):
+    """Written whole to the shared or a temporary folder, and read again."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-")
+    return f"{base}/statements-{spark.sparkContext.applicationId}-{id(d)}"
+
+
+@query("sink_full_save", f"SELECT s, p, o, otype FROM ({NATION_ST})")
+def _(spark, d):
+    store, where = formats.StatementSource(spark), _saved(spark, d)
+    store.save(graph(spark, d, "nation"), where)
+    return store.load(where).select(*TRIPLE)
+
+
+@query("model_mirror", f"SELECT s, p, o, otype FROM ({REGION_ST})")
+def _(spark, d):
+    import uuid
+
+    first, second = (f"{_saved(spark, d)}-{uuid.uuid4().hex}" for _ in range(2))
+    model.mirror(graph(spark, d, "region"), first, second)
+    return spark.read.parquet(first).select(*TRIPLE)
+
+
+@query("sink_index_optimize", f"SELECT doc_id AS doc, term, freq FROM {POST} WHERE term = 'that'")
+def _(spark, d):
+    where = _saved(spark, d) + "-index"
+    _index(spark, d).postings.where("field = 'text'").repartition(8).write.mode("overwrite").parquet(where)
+    ft.compact(where, spark, 1)
+    return spark.read.parquet(where + ".compact").where("term = 'that'").select("doc", "term", "freq")
+
+
+@query("src_url_doc", "SELECT 'region.parquet' AS name, true AS found")
+def _(spark, d):
+    return spark.read.format("binaryFile").load(f"{d}/region.parquet").select(F.substring_index("path", "/", -1).alias("name"), (F.col("length") > 0).alias("found")).where("name = 'region.parquet'")
+
+
+@query("fn_evaluate", f"SELECT '{B}nation/' || n_nationkey AS value FROM nation WHERE n_name = 'NATION_8'")
+def _(spark, d):
+    """A path that is itself data: read, compiled on the driver, and run."""
+    text = spark.createDataFrame([("/*[q:name='NATION_8']",)], "path string").first().path
+    return path(graph(spark, d, "nation"), text).select("value")
+
+
+@query("fn_metadata", "SELECT n_name AS value FROM nation WHERE n_name = 'NATION_3'")
+def _(spark, d):
+    """Request variables: assigned, asked for, removed."""
+    held = {"wanted": "NATION_3", "other": "x"}
+    held.pop("other")
+    assert "other" not in held
+    return path(graph(spark, d, "nation"), "/q:Nation/q:name[.=$wanted]", held).select("value")
+
+
+@query("fn_error", "SELECT r_regionkey, 'ok' AS v FROM region")
+def _(spark, d):
+    return table(spark, d, "region").select("r_regionkey", F.when(F.col("r_regionkey") < 0, F.raise_error(F.lit("no such region"))).otherwise(F.lit("ok")).cast("string").alias("v"))
+
+
+@query("fn_get_contents", "SELECT page_id, sha256(html) AS v FROM pages")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("v"))
