@@ -29,50 +29,59 @@ GRAM = 30
 _C = U64(0xD1342543DE82EF95)
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of text in order.
+def leading(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as big-endian numbers."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    key = np.zeros(len(text), np.uint64)
+    for i in range(8):
+        key = (key << U64(8)) | padded[i : i + len(text)]
+    return key
+
+
+def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes of text in the order of their first ``depth`` bytes, or of more.
 
     Larsson and Sadakane: sort by some leading bytes, then refine the groups that still tie by the rank of the
     suffix that starts where the compared bytes end, doubling their number each time.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << U64(8)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    key = leading(text)
+    order = np.argsort(key)
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     first = np.ones(n, bool)
     first[1:] = key[order[1:]] != key[order[:-1]]
     done = 8
-    while True:
+    while done < depth:
         begin = np.flatnonzero(first)
         rank[order] = np.repeat(begin, np.diff(np.append(begin, n)))
         tied = np.flatnonzero(~(first & np.append(first[1:], True)))
         if not len(tied):
-            return order
+            break
         at = order[tied]
-        group, nxt = rank[at], rank[np.minimum(at + done, n)]
-        how = np.lexsort((nxt, group))
+        both = rank[at] * (n + 1) + rank[np.minimum(at + done, n)] + 1
+        how = np.argsort(both)
         order[tied] = at[how]
-        group, nxt = group[how], nxt[how]
-        first[tied[1:]] |= (group[1:] == group[:-1]) & (nxt[1:] != nxt[:-1])
+        both = both[how]
+        first[tied[1:]] |= (both[1:] != both[:-1])
         done *= 2
+    return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int = 8192) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int = 16_384) -> np.ndarray:
     """Common prefix, up to ``most``, of each suffix with the one before it in order.
 
-    Kasai: along the text the common prefix shrinks by one at most from one suffix to the next. Many stretches of
-    the text are walked side by side.
+    Kasai: along the text the common prefix shrinks by one at most from one suffix to the next; after one that
+    reaches ``most``, where the order may no longer tell, it is counted afresh. Many stretches of the text are walked
+    side by side, eight bytes at a time and then one by one.
     """
     n = len(order)
     if not n:
         return np.zeros(0, np.int64)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text, np.zeros(most + 1, np.uint8)])
+    padded = np.concatenate([text, np.zeros(most + 9, np.uint8)])
+    eight = leading(padded[:-8])
     found = np.zeros(n, np.int64)
     step = -(-n // min(lanes, n))
     starts = np.arange(0, n, step)
@@ -80,15 +89,19 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lanes: int =
     for t in range(step):
         at = starts + t
         at = at[at < n]
-        length = np.maximum(length[: len(at)] - 1, 0)
+        length = length[: len(at)]
+        length = np.where(length < most, np.maximum(length - 1, 0), 0)
         other = before[at]
         length[other < 0] = 0
-        live = np.flatnonzero((other >= 0) & (length < most))
-        while len(live):
-            end = length[live]
-            live = live[(np.maximum(at[live], other[live]) + end < n) & (padded[at[live] + end] == padded[other[live] + end])]
-            length[live] += 1
-            live = live[length[live] < most]
+        live = np.flatnonzero(other >= 0)
+        for words, size in ((eight, 8), (padded, 1)):
+            going = live[length[live] + size <= most]
+            while len(going):
+                end = length[going]
+                going = going[words[at[going] + end] == words[other[going] + end]]
+                length[going] += size
+                going = going[length[going] + size <= most]
+        length = np.minimum(length, n - np.maximum(at, other))
         found[at] = length
     return found[order]
 
@@ -175,7 +188,7 @@ class _Shard:
         text = self.data[np.minimum(place, len(self.data) - 1)] if len(place) else np.zeros(0, np.uint8)
         tails = np.cumsum(size) - 1
         text[tails] = 0xFF  # in no UTF-8 text: no window that holds it equals one that doesn't
-        order = suffix_array(text)
+        order = suffix_array(text, w)
         fresh = common_prefixes(text, order, w) < w
         whole = np.ones(len(text), bool)
         whole[ragged(tails - np.minimum(size, w) + 1, np.minimum(size, w))] = False
