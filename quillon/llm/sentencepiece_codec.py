@@ -51,8 +51,15 @@ class Codec:
                 self.halves[p] = found
         self.rank = {p: r for p, r in self.rank.items() if r == _BASE or p in self.halves}
         self.longest = max(map(len, self.rank))
+        self.raw_id = {p: np.uint32(i).astype("<u4").tobytes() for p, i in self.ids.items()}
+        self.byte_id = {b: np.uint32(i).astype("<u4").tobytes() for b, i in self.bytes_.items()}
         self.unit: dict[str, bytes] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
+        sizes: dict[str, set[int]] = {}  # lengths of the pieces that end with a character
+        for p in self.rank:
+            sizes.setdefault(p[-1], {1}).add(len(p))
+        self.ends = {c: tuple(sorted(s, reverse=True)) for c, s in sizes.items()}
 
     @classmethod
     def shared(cls, path: str) -> Codec:
@@ -75,10 +82,10 @@ class Codec:
 
     def fit(self, left: str, right: str) -> bool:
         """Whether merging would leave these two side by side."""
-        key = (left, right)
-        if key in self.fits:
-            return self.fits[key]
-        due, rank = 1 << 60, self.rank
+        known = self.fits.get(left)
+        if known is not None and right in known:
+            return known[right]
+        a_, b_, due, rank = left, right, 1 << 60, self.rank
         while True:
             if rank.get(left + right, 1 << 60) < due:
                 out = False
@@ -91,11 +98,49 @@ class Codec:
                 due, left = a, self.halves[left][1]
             else:
                 due, right = b + 1, self.halves[right][0]
-        if len(self.fits) > MEMORY:
+        if self.pairs > 2 * MEMORY:
             self.fits.clear()
-        self.fits[key] = out
+            self.pairs = 0
+        self.fits.setdefault(a_, {})[b_] = out
+        self.pairs += 1
         return out
 
+    def _extend(self, unit: str, back: list) -> None:
+        """Runs the search on over the rest of a unit; back[p] is the surviving piece that ends at p."""
+        rank, ends, fits = self.rank, self.ends, self.fits
+        for end in range(len(back), len(unit) + 1):
+            for size in ends.get(unit[end - 1], (1,)):
+                if size > end:
+                    continue
+                piece = unit[end - size : end]
+                if size > 1 and piece not in rank:
+                    continue
+                before = back[end - size]
+                if before:
+                    known = fits.get(before)
+                    ok = known.get(piece) if known is not None else None
+                    if ok is None:
+                        ok = self.fit(before, piece)
+                    if not ok:
+                        continue
+                back.append(piece)
+                break
+
+    def learn(self, units) -> None:
+        """Ids of new units. In their order neighbours share beginnings, over which the search is not run again."""
+        last, back = "", [""]
+        for unit in sorted(units):
+            if len(unit) > 4 * self.longest:
+                self.unit[unit] = self._ids(p for run in self._search(unit) for p in run)
+                continue
+            same, most = 0, min(len(unit), len(last))
+            while same < most and unit[same] == last[same]:
+                same += 1
+            del back[same + 1 :]
+            self._extend(unit, back)
+            last = unit
+            self.unit[unit] = self._ids(self._path(back, len(unit), 0))
+
     def _search(self, unit: str):
         """Pieces of a unit, in runs, as the search commits them."""
         rank, longest, done = self.rank, self.longest, 0
@@ -122,43 +167,32 @@ class Codec:
         yield self._path(back, len(unit), done)
 
     @staticmethod
-    def _path(back: dict[int, str], end: int, begin: int) -> list[str]:
+    def _path(back, end: int, begin: int) -> list[str]:
         out = []
         while end > begin:
             out.append(back[end])
             end -= len(back[end])
         return out[::-1]
 
-    def encode_unit(self, unit: str) -> bytes:
-        ids = []
-        for run in self._search(unit):
-            for piece in run:
-                i = self.ids.get(piece)
-                ids += [i] if i is not None else [self.bytes_[b] for b in piece.encode()]
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        units = _UNITS.findall(SPACE + text.replace(" ", SPACE))
-        memory = self.unit
-        try:
-            return b"".join([memory[u] for u in units])
-        except KeyError:
-            pass
-        if len(memory) > MEMORY:
-            memory.clear()
-        out = []
-        for u in units:
-            found = memory.get(u)
-            if found is None:
-                found = self.encode_unit(u)
-                if len(u) <= 64:
-                    memory[u] = found
-            out.append(found)
+    def _ids(self, pieces) -> bytes:
+        known, out = self.raw_id, []
+        for piece in pieces:
+            i = known.get(piece)
+            out.append(i if i is not None else b"".join(self.byte_id[b] for b in piece.encode()))
         return b"".join(out)
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        units = [_UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else () for t in texts]
+        if len(self.unit) > MEMORY:
+            self.unit.clear()
+        memory = self.unit
+        self.learn({u for us in units for u in us} - memory.keys())
+        out = [b"".join([memory[u] for u in us]) for us in units]
+        for u in [u for u in memory if len(u) > 4 * self.longest]:
+            del memory[u]
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
         text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
@@ -171,9 +205,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         codec = Codec.shared(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [codec.encode(t or "") for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = codec.encode(part.column(1).to_pylist())
                 offsets = np.cumsum([0, *(len(x) // 4 for x in found)])
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
                 yield pa.RecordBatch.from_arrays([id_array(ints(part.column(0))), ids], ["doc_id", "ids"])
