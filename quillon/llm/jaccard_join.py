@@ -2,8 +2,9 @@
 
 Documents with one set form a class, and only one document of a class goes on. A class is posted under its rarest
 shingles (by counts of the whole corpus, kept in a table of fixed size): two sets that are similar enough share one
-of these. Classes that meet in a list and are of fitting sizes are chained; chains make candidate components, and
-every link lies inside one of them. A component is searched in blocks of bounded size: inverted lists over the
+of these. Classes that meet in a list and are of fitting sizes are paired, and pairs whose parity bits rule a link out are
+dropped (in lists too long for pairs they are chained); what is left makes candidate components, and every link lies
+inside one of them. A component is searched in blocks of bounded size: inverted lists over the
 block, the short ones merged, the long ones probed by binary search for those that can still reach the threshold,
 and members with the required overlap kept. A component of many blocks is first searched against one of its
 blocks; what that leaves apart from its largest part is then searched against all blocks. So a large group of
@@ -28,7 +29,11 @@ from ._store import cut, width
 from ._text import Chunk, Prefix, U64, chunks, id_array, mix
 from .components import components
 
-SLOTS, PIECES, BLOCK = 1 << 19, 64, 256
+SLOTS, PIECES, BLOCK = 1 << 19, 64, 512
+#: Longs of a set's parity bits; lists longer than SHORT are chained, not paired.
+LONGS, SHORT = 16, 128
+#: Bits of the filter that spares other documents' sets the shuffle: at most 32 MB; a full filter only spares less.
+MOST_BITS = 1 << 28
 
 
 class Sets:
@@ -53,8 +58,16 @@ class Sets:
         self.print_ = mix((total[self.first[1:]] - total[self.first[:-1]]) ^ (self.n.astype(np.uint64) * U64(0x9E3779B97F4A7C15))).view(np.int64)
 
 
+def parities(s: Sets) -> pa.Array:
+    """Of each set, how often each of some bits is hit, modulo 2: two sets differ in as many items as bits, or more."""
+    n, wide = len(s.n), 64 * LONGS
+    odd = np.bincount(s.doc * wide + (s.hash >> U64(54)).astype(np.int64) % wide, minlength=n * wide).astype(np.uint8) & 1
+    longs = np.packbits(odd.reshape(n, wide), axis=1).reshape(-1).view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * LONGS, pa.int32()), pa.array(longs))
+
+
 def facts(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document (id, size and print of its set), and rows with pieces of the count table."""
+    """A row for each document (id, size, print and parities of its set), and rows with pieces of the count table."""
 
     def run(batches):
         count = np.zeros(SLOTS, np.uint32)
@@ -63,12 +76,12 @@ def facts(docs: DataFrame, k: int) -> DataFrame:
             s = Sets(chunk, k)
             count += np.bincount((s.hash >> U64(45)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
             some = True
-            yield pa.RecordBatch.from_arrays([id_array(chunk.ids), pa.array(s.n), pa.array(s.print_), pa.nulls(len(chunk), pa.int32()), pa.nulls(len(chunk), pa.binary())], ["doc_id", "n", "print", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([id_array(chunk.ids), pa.array(s.n), pa.array(s.print_), parities(s), pa.nulls(len(chunk), pa.int32()), pa.nulls(len(chunk), pa.binary())], ["doc_id", "n", "print", "parity", "piece", "counts"])
         if some:
             blobs = [c.tobytes() for c in np.split(count, PIECES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "print", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.list_(pa.int64())), pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "print", "parity", "piece", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, print long, piece int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, print long, parity array<long>, piece int, counts binary")
 
 
 def count_table(known: DataFrame) -> np.ndarray:
@@ -94,7 +107,7 @@ def rare_first(s: Sets, counts: np.ndarray) -> np.ndarray:
 
 
 def chains(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that connect all candidates."""
+    """Pairs (a, b, long) of classes that connect all candidates: all pairs of fitting sizes in short lists, chains in long ones."""
     n = width(docs.sparkSession)
 
     def post(batches):
@@ -128,12 +141,37 @@ def chains(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFra
         h, p, m = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("h", "<u4"), ("prints", "<i8"), ("sizes", "<u4")))
         order = np.lexsort((p, m, h))
         h, p, m = h[order], p[order], m[order].astype(np.int64)
-        near = np.flatnonzero((h[1:] == h[:-1]) & (p[1:] != p[:-1]) & (100 * m[:-1] >= percent * m[1:]))
-        a, b = forest(p[near], p[near + 1])
-        return pa.table({"a": a, "b": b})
+        if len(h):  # tasks each post a class once; copies of it are next to each other now
+            once = np.append(True, (h[1:] != h[:-1]) | (p[1:] != p[:-1]))
+            h, p, m = h[once], p[once], m[once]
+        new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        length = np.repeat(np.diff(np.append(new, len(h))), np.diff(np.append(new, len(h))))
+        fit = lambda i, j: (h[i] == h[j]) & (p[i] != p[j]) & (100 * m[i] >= percent * m[j])
+        i = np.arange(len(h) - 1) if len(h) else np.zeros(0, np.int64)
+        i = i[(length[i] > SHORT) & fit(i, i + 1)] if len(i) else i
+        a, b = forest(p[i], p[i + 1])
+        pairs = []
+        for step in range(1, SHORT):
+            i = np.flatnonzero((length[step:] <= SHORT) & (h[step:] == h[:-step])) if len(h) > step else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            i = i[fit(i, i + step)]
+            pairs.append(np.stack([np.minimum(p[i], p[i + step]), np.maximum(p[i], p[i + step])], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        return pa.table({"a": np.concatenate([a, pairs[:, 0]]), "b": np.concatenate([b, pairs[:, 1]]), "long": np.arange(len(a) + len(pairs)) < len(a)})
 
     posted = docs.mapInArrow(post, f"{_ask.BUCKET} int, h binary, prints binary, sizes binary")
-    return _ask.per_bucket(posted, chain, "a long, b long").distinct()
+    return _ask.per_bucket(posted, chain, "a long, b long, long boolean").groupBy("a", "b").agg(F.bool_or("long").alias("long"))
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose parities do not rule a link out; the chains of long lists stay."""
+    facts_ = lambda x: classes.select(F.col("print").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    both = pairs.join(facts_("a"), "a").join(facts_("b"), "b")
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    total = F.col("na") + F.col("nb")
+    overlap = F.ceil(F.lit(percent) * total / F.lit(100 + percent))
+    return both.where(F.col("long") | (differ <= total - 2 * overlap)).select("a", "b")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +242,41 @@ def t_occurrence(sets: list[np.ndarray], percent: int = 85) -> tuple[np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
+def filter_bits(nodes: DataFrame) -> np.ndarray:
+    """Which slots of a hash of first_id the candidates take, as bytes; of a size that follows their number up to a bound."""
+    size = min(MOST_BITS, max(1 << 16, 1 << (16 * nodes.count()).bit_length()))
+    slots = nodes.select(F.pmod(F.xxhash64("first_id"), F.lit(size)).alias("slot")).distinct()
+
+    def pack(table: pa.Table) -> pa.Table:
+        slot = table.column("slot").to_numpy()
+        taken = np.zeros(size // PIECES, bool)
+        taken[slot % (size // PIECES)] = True
+        return pa.table({"piece": pa.array([int(slot[0]) // (size // PIECES)], pa.int32()), "bits": pa.array([np.packbits(taken).tobytes()], pa.binary())})
+
+    out = np.zeros((PIECES, size // PIECES // 8), np.uint8)
+    pieces = slots.withColumn("piece", (F.col("slot") / (size // PIECES)).cast("int")).groupBy("piece")
+    for r in pieces.applyInArrow(pack, "piece int, bits binary").collect():
+        out[r.piece] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, bits: np.ndarray, k: int) -> DataFrame:
+    """nodes with ``items``, the set of the document that stands for each."""
+    size = 8 * len(bits)
+
+    def run(batches):
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array(((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)))
+            for chunk in chunks([batch]):
+                s = Sets(chunk, k)
+                blobs = [s.hash[a:b].tobytes() for a, b in zip(s.first[:-1].tolist(), s.first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([id_array(chunk.ids), pa.array(s.print_), pa.array(blobs, pa.binary())], ["id", "mine", "items"])
+
+    made = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("slot")).mapInArrow(run, "id long, mine long, items binary")
+    return made.join(nodes, (F.col("mine") == F.col("print")) & F.col("id").eqNullSafe(F.col("first_id"))).select(*nodes.columns, "items")
+
+
 def links(tasks: DataFrame, percent: int) -> DataFrame:
     """Spanning forest of the links within each task (root, i, j) of (print, items)."""
 
@@ -221,43 +294,38 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, print (of the set) and component_id of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = cut(facts(docs, k), "sets")
-    rows = known.where("piece is null").select("doc_id", "n", "print")
+    each = known.where("piece is null")
+    rows = each.select("doc_id", "n", "print")
     classes = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
-    candidate = components(chains(docs, count_table(known), k, percent))
+    described = each.where("n > 0").groupBy("print").agg(F.min("n").alias("n"), F.first("parity").alias("parity"))
+    candidate = components(possible(chains(docs, count_table(known), k, percent), described, percent))
 
     # the set of one document of each candidate class, known by its print among the rows of that id
     wanted = candidate.join(classes, candidate.node == classes["print"]).select("print", "root", "first_id")
     sized = wanted.join(wanted.groupBy("root").agg(F.count("*").alias("members")), "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     nodes = cut(sized.withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")), "nodes")
 
-    def items(batches):
-        for batch in batches:
-            at = 0
-            for chunk in chunks([batch], id_col="first_id"):
-                s = Sets(chunk, k)
-                keep = np.flatnonzero(s.print_ == np.asarray(batch.column("print").slice(at, len(chunk)).to_numpy(zero_copy_only=False)))
-                blobs = [s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in keep.tolist()]
-                cols = [batch.column(c).slice(at, len(chunk)).take(pa.array(keep)) for c in ("print", "root", "blocks", "block")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(blobs, pa.binary())], ["print", "root", "blocks", "block", "items"])
-                at += len(chunk)
-
-    texts = docs.join(nodes, docs["doc_id"].eqNullSafe(nodes["first_id"])).select("first_id", "text", "print", "root", "blocks", "block")
-    sets = cut(texts.mapInArrow(items, "print long, root long, blocks int, block int, items binary").dropDuplicates(["print"]), "items")
+    bits = filter_bits(nodes)
+    sets = sets_of(docs, nodes, bits, k)
     others = F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1)))
     spread = F.explode(F.when(F.col("block") == 0, others).otherwise(F.array("block")))
     found = cut(links(sets.select("root", spread.alias("i"), F.lit(0).alias("j"), "print", "items"), percent), "links")
 
-    if not nodes.where("blocks > 1").isEmpty():
-        so_far = components(found)
-        large = sets.where("blocks > 1").join(so_far.select(F.col("node").alias("print"), F.col("root").alias("part")), "print", "left").withColumn("part", F.coalesce("part", "print"))
-        parts = large.groupBy("root", "part").agg(F.count("*").alias("size"))
+    large = nodes.where("blocks > 1")
+    if not large.isEmpty():
+        so_far = components(found).select(F.col("node").alias("print"), F.col("root").alias("part"))
+        parted = large.join(so_far, "print", "left").withColumn("part", F.coalesce("part", "print"))
+        parts = parted.groupBy("root", "part").agg(F.count("*").alias("size"))
         main = parts.groupBy("root").agg(F.max(F.struct("size", "part")).alias("m"), F.sum("size").alias("all")).select("root", F.col("m.part").alias("main"), F.ceil((F.col("all") - F.col("m.size")) / BLOCK).cast("int").alias("rest"))
-        large = cut(large.join(main, "root").where("rest > 0"), "rest")
-        every = F.sequence(F.lit(0), F.col("rest") - 1)
-        all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-        outside = large.where("part <> main").select("root", F.pmod(F.xxhash64("print"), F.col("rest")).cast("int").alias("i"), F.explode(all_blocks).alias("j"), "print", "items")
-        against = large.select("root", F.explode(every).alias("i"), F.col("block").alias("j"), "print", "items")
-        found = found.unionByName(cut(links(outside.unionByName(against), percent), "links"))
+        late = cut(parted.join(main, "root").where("rest > 0"), "late")
+        if not late.isEmpty():
+            sets = sets_of(docs, late, bits, k)
+            all_blocks, every = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("rest") - 1)
+            mine = F.pmod(F.xxhash64("print"), F.col("rest")).cast("int")
+            outside = F.when(F.col("part") != F.col("main"), F.transform(all_blocks, lambda j: F.struct(mine.alias("i"), j.alias("j")))).otherwise(F.array())
+            against = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
+            tasks = sets.select("root", F.explode(F.array_distinct(F.concat(outside, against))).alias("t"), "print", "items").select("root", "t.i", "t.j", "print", "items")
+            found = found.unionByName(cut(links(tasks, percent), "links"))
 
     final = components(found)
     in_class = classes.join(final, classes["print"] == final.node, "left").select("print", F.coalesce("root", "print").alias("root"), "first_id")
