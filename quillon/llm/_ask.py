@@ -21,7 +21,8 @@ PART, BUCKET = "__part", "__bucket"
 
 
 def deal(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    n = width(docs.sparkSession)
+    """Documents with their part; twice as many parts as shuffle partitions, so each is small and tasks are even."""
+    n = 2 * width(docs.sparkSession)
     return docs.withColumn(PART, F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int"))
 
 
@@ -85,17 +86,19 @@ def with_replies(docs: DataFrame, replies: DataFrame, fn: Callable[[int, pa.Tabl
     return docs.groupBy(PART).cogroup(replies.groupBy(PART)).applyInArrow(run, schema)
 
 
-def distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, whether two owners share each, and its smallest owner."""
+def distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, whether two owners share each, its smallest owner, and the entry of each hash."""
     order = np.argsort(hashes)
     h, o = hashes[order], owner[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
     first = np.flatnonzero(new)
+    entry = np.empty(len(h), np.int64)
+    entry[order] = np.cumsum(new) - 1
     if not len(first):
-        return h, np.zeros(0, bool), o
+        return h, np.zeros(0, bool), o, entry
     least, most = np.minimum.reduceat(o, first), np.maximum.reduceat(o, first)
-    return h[first], least != most, least
+    return h[first], least != most, least, entry
 
 
 def doc_kind(ids: np.ndarray) -> str:

@@ -97,9 +97,9 @@ class Words:
         self.start = np.flatnonzero(solid & ~before)
         self.end = np.flatnonzero(solid & ~after) + 1
         self.solid = solid
-        self.doc = np.searchsorted(offsets, self.start, "right") - 1
-        self.count = np.bincount(self.doc, minlength=len(chunk)).astype(np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        self.first = np.searchsorted(self.start, offsets).astype(np.int64)
+        self.count = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(chunk)), self.count)
         self.bytes = Prefix(BYTE_CODE[LOWER[data] if lower else data])
         self.hash = self.bytes.span(self.start, self.end)
 

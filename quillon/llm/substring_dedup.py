@@ -11,7 +11,7 @@ bits, so a wrong removal has a chance of about c**2 / 2**65 for c windows that s
 
 Edge cases: null text has no words; a null doc_id counts as larger than all others, and such rows leave each other
 alone; rows with one doc_id leave each other alone; documents shorter than a window stay as they are; an empty
-table gives an empty result; other columns are carried along, whatever they are called (``__part`` excepted).
+table gives an empty result; other columns are carried along; those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -50,25 +50,25 @@ class _Part:
         return at, h[at]
 
     def probes(self, block: int):
-        """Positions and hashes of rolling windows; sorted distinct hashes, which of them two documents share, and which are blocks."""
+        """Positions of rolling windows and the entries of their hashes; sorted distinct hashes, which of them two documents share, and which are blocks."""
         at, h = self.windows(block)
-        distinct, shared, _ = _ask.distinct(h, self.doc[at])
+        distinct, shared, _, entry = _ask.distinct(h, self.doc[at])
         aligned = (at - self.first[self.doc[at]]) % block == 0
         blocks = np.zeros(len(distinct), bool)
-        blocks[np.searchsorted(distinct, h[aligned])] = True
-        return at, h, distinct, shared, blocks
+        blocks[entry[aligned]] = True
+        return at, entry, distinct, shared, blocks
 
     def candidates(self, block: int, window: int, n: int, replies: pa.Table):
-        """Full windows around shared blocks: positions, hashes; sorted distinct hashes and their smallest ids."""
-        at, h, distinct, _, _ = self.probes(block)
+        """Full windows around shared blocks: positions, entries; sorted distinct hashes and their smallest ids."""
+        at, entry, distinct, _, _ = self.probes(block)
         hit = np.zeros(len(self.words) + 1, np.int64)
-        hit[at[_ask.flags(replies, n, distinct)[np.searchsorted(distinct, h)]] + 1] = 1
+        hit[at[_ask.flags(replies, n, distinct)[entry]] + 1] = 1
         hit = np.cumsum(hit)
         full, g = self.windows(window)
         near = hit[full + window - block + 1] > hit[full]
         full, g = full[near], g[near]
-        distinct, _, least = _ask.distinct(g, self.ids[self.doc[full]])
-        return full, g, distinct, least
+        distinct, _, least, entry = _ask.distinct(g, self.ids[self.doc[full]])
+        return full, entry, distinct, least
 
 
 def repeats(docs: DataFrame, window: int = 50, joined: bool = True) -> DataFrame:
@@ -78,6 +78,7 @@ def repeats(docs: DataFrame, window: int = 50, joined: bool = True) -> DataFrame
     white space after them.
     """
     block, n = window // 2, width(docs.sparkSession)
+    docs = docs.drop(*OUT, _ask.PART)
     dealt = _ask.deal(docs)
     slim = dealt.select("doc_id", "text", _ask.PART) if set(docs.columns) != {"doc_id", "text"} else dealt
 
@@ -120,9 +121,8 @@ def repeats(docs: DataFrame, window: int = 50, joined: bool = True) -> DataFrame
     def remove(part: int, table: pa.Table, replies: pa.Table) -> pa.Table:
         p = _Part(table)
         kind = replies.column("lost")
-        full, g, h, least = p.candidates(block, window, n, replies.filter(pa.compute.invert(kind)))
+        full, at, h, least = p.candidates(block, window, n, replies.filter(pa.compute.invert(kind)))
         gone = _ask.flags(replies.filter(kind), n, h)
-        at = np.searchsorted(h, g)
         drop = covered(full[gone[at] | (p.ids[p.doc[full]] > least[at])], window, len(p.words))
         texts, base = [], 0
         removed = np.bincount(p.doc[drop], minlength=len(p.ids))

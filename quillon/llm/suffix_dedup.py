@@ -138,7 +138,7 @@ def phrases(chunk: Chunk, window: int, gram: int) -> tuple[np.ndarray, ...]:
     for j in range(window - gram + 1):
         open_ = open_[h[start[open_] + j] != value[open_]]
         at[open_] = start[open_] + j + 1
-    doc = np.searchsorted(chunk.offsets, start, "right") - 1
+    doc = np.repeat(np.arange(len(chunk)), np.diff(np.searchsorted(start, chunk.offsets)))
     return start, last, mix(wide[at]), prefix.span(start, last + window), doc
 
 
@@ -158,21 +158,25 @@ class _Shard:
         self.id = self.ids[self.doc]
 
     def anchors(self):
-        return _ask.distinct(self.anchor, self.doc)
+        """Sorted distinct minimizers, whether two documents share each, and the entry of each run."""
+        h, shared, _, entry = _ask.distinct(self.anchor, self.doc)
+        return h, shared, entry
 
     def hold(self, which: np.ndarray) -> None:
         self.start, self.last, self.anchor, self.phrase, self.doc, self.id = (x[which] for x in (self.start, self.last, self.anchor, self.phrase, self.doc, self.id))
 
-    def narrow(self, shared: np.ndarray, anchors: np.ndarray):
-        """Holds only runs with a shared minimizer; their distinct (minimizer, phrase) pairs, sorted, and the entry of each run."""
-        self.hold(shared[np.searchsorted(anchors, self.anchor)])
-        order = np.lexsort((self.id, self.phrase, self.anchor))
-        a, b, ids = self.anchor[order], self.phrase[order], self.id[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        entry = np.empty(len(a), np.int64)
-        entry[order] = np.cumsum(new) - 1
-        return a[new], b[new], ids[new], entry
+    def narrow(self, shared: np.ndarray):
+        """Holds only runs with a shared minimizer; their distinct (minimizer, phrase) pairs by minimizer, smallest ids, and the entry of each run."""
+        self.hold(shared)
+        pair = mix(self.anchor ^ (self.phrase * _C))
+        pairs, _, least, entry = _ask.distinct(pair, self.id)
+        sample = np.empty(len(pairs), np.int64)
+        sample[entry] = np.arange(len(entry))
+        by = np.argsort(self.anchor[sample], kind="stable")
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        sample = sample[by]
+        return self.anchor[sample], self.phrase[sample], least[by], back[entry]
 
     def classes(self, which: np.ndarray):
         """Windows of some runs, their hashes and classes; each class's hash and smallest id. From the suffix array."""
@@ -190,23 +194,30 @@ class _Shard:
         text[tails] = 0xFF  # in no UTF-8 text: no window that holds it equals one that doesn't
         order = suffix_array(text, w)
         fresh = common_prefixes(text, order, w) < w
-        whole = np.ones(len(text), bool)
-        whole[ragged(tails - np.minimum(size, w) + 1, np.minimum(size, w))] = False
+        windows = np.maximum(size - w, 0)  # at the front of each segment
+        begins = tails + 1 - size
+        at = ragged(begins, windows)
+        seg = np.repeat(np.arange(len(size)), windows)
+        ids = self.ids[doc[seg]]
+        owner = np.full(len(text), -1)
+        owner[at] = ids
+        held = owner[order]
         label = np.empty(len(text), np.int64)
         label[order] = np.cumsum(fresh) - 1
-        at = np.flatnonzero(whole)
-        seg = np.searchsorted(tails, at)
-        _, label = np.unique(label[at], return_inverse=True)
-        place, ids = place[at], self.ids[doc[seg]]
-        n = int(label.max()) + 1 if len(label) else 0
-        least, sample = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64)
-        np.minimum.at(least, label, ids)
-        sample[label] = at
-        h = Prefix(BYTE_CODE[text]).windows(w)[sample] if n else np.zeros(0, np.uint64)
-        by = np.argsort(h)
+        real = held >= 0  # equal windows are all whole or all cut short by a segment's end
+        real = real if (self.ids >= 0).all() else np.isin(order, at)
+        kept = order[real]
+        mine = label[kept]
+        first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if len(kept) else np.zeros(0, np.int64)
+        n = len(first)
+        least = np.minimum.reduceat(held[real], first) if n else np.zeros(0, np.int64)
+        h = Prefix(BYTE_CODE[text]).windows(w)[kept[first]] if n else np.zeros(0, np.uint64)
+        by = np.argsort(h, kind="stable")
         back = np.empty(n, np.int64)
         back[by] = np.arange(n)
-        return place, ids, back[label], h[by], least[by]
+        number = np.zeros(int(fresh.sum()) + 1, np.int64)
+        number[mine[first]] = back
+        return place[at], ids, number[label[at]], h[by], least[by]
 
 
 def _narrow_ids(blob_ids: np.ndarray) -> np.ndarray:
@@ -241,8 +252,8 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFra
 
     def ask_phrases(part: int, table: pa.Table, replies: pa.Table) -> pa.Table:
         s = _Shard(table, window, gram)
-        h, _, _ = s.anchors()
-        a, b, ids, _ = s.narrow(_ask.flags(replies, n, h), h)
+        h, _, entry = s.anchors()
+        a, b, ids, _ = s.narrow(_ask.flags(replies, n, h)[entry])
         got = _ask.send(part, n, a, phrase=b, ids=_narrow_ids(ids))
         narrow = pa.array([np.frombuffer(x, "<u8").astype("<u4").tobytes() for x in got.column("__hash").to_pylist()], pa.binary())
         return pa.Table.from_arrays([narrow if name == "__hash" else got.column(i) for i, name in enumerate(got.schema.names)], names=got.schema.names)
@@ -266,8 +277,8 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFra
         """A shard with all that the first two answers say; the runs that are gone as a whole, and those for the suffix array."""
         kind = {k: replies.filter(pa.compute.equal(replies.column("kind"), k)) for k in (0, 1, 2, 3)}
         s = _Shard(table, window, gram)
-        h, _, _ = s.anchors()
-        a, _, least, entry = s.narrow(_ask.flags(kind[0], n, h), h)
+        h, _, at = s.anchors()
+        a, _, least, entry = s.narrow(_ask.flags(kind[0], n, h)[at])
         gone = _ask.flags(kind[1], n, a)[entry] | (s.id > least[entry])
         return s, gone, ~gone & _ask.flags(kind[2], n, a)[entry], kind[3]
 
