@@ -191,6 +191,31 @@ def test_jaccard_join(docs, empty, rows, monkeypatch):
     assert {82, 83, 84, 85} <= kept and not kept & {61, 62, 81}
 
 
+def test_jaccard_stage_takes_five_words_at_four_fifths(spark):
+    rng = random.Random(12)
+    fresh = iter(range(10**6))
+    texts = []
+    for extra in (0, 18, 22, 26):  # 18 and 22 appended words: at least 0.8 on five words, under 0.85 on four
+        base = [f"w{next(fresh)}" for _ in range(100)]
+        texts += [base, base + [f"w{next(fresh)}" for _ in range(extra)]]
+    for _ in range(12):
+        base = [f"w{next(fresh)}" for _ in range(rng.randint(6, 150))]
+        changed = [f"w{next(fresh)}" if rng.random() < 0.02 else w for w in base]
+        texts += [base, changed, base + [f"w{next(fresh)}" for _ in range(rng.randint(1, 30))]]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    sets = [frozenset(tuple(t[k : k + 5]) for k in range(max(len(t) - 4, 1))) for t in texts]
+    name = list(range(len(sets)))
+    for _ in sets:
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    name[a] = name[b] = min(name[a], name[b])
+    want = [i for i in range(len(sets)) if name[i] == i]
+    assert 3 not in want and 5 not in want and 7 in want
+    got = jaccard_join.stage(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_t_occurrence_finds_every_pair():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
