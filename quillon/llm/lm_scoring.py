@@ -2,10 +2,14 @@
 
 Every word is predicted from the two words on either side: embeddings by position, one hidden layer, and a softmax in
 two steps (class, then word in the class). A document's score is the sum of the log-probabilities of all its words.
-Word counts come from the whole corpus; the most frequent words have ids of their own, all others share hashed
-ids. Training is spread over the cluster and uses every document: each task trains a copy on masked positions
-of its documents, and copies are averaged by the words they saw, chunk of parameters by chunk, round by round. The
-driver holds one set of parameters and the fixed number of frequent words, however large the corpus.
+Word counts come from the whole corpus. The most frequent words have ids of their own, the more of them the more
+distinct words there are; the others share hashed ids, and the probability of such an id is divided among its words
+by their counts, so each distinct word has a probability of its own, and one is left for words never counted.
+The counts stay in a table: parts of the corpus ask it for the words they hold.
+
+Training is spread over the cluster and uses every document: each task trains a copy on masked positions
+of its documents, and copies are averaged by the words they saw, chunk of parameters by chunk, round by round. The driver holds one set of parameters and the frequent words,
+whose number follows the square root of the number of distinct words.
 
 Edge cases: null text has no words; a document without words has sum 0 and no mean; a null doc_id is kept; repeated
 rows get equal scores; an empty table gives an empty result; other columns are ignored.
@@ -13,48 +17,71 @@ rows get equal scores; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import copy
+import math
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, chunks, id_array
+from . import _ask
+from ._store import cut, width
+from ._text import U64, Chunk, chunks, id_array
 
+#: Ids of frequent words, and shared ids, of a small corpus; both grow with the distinct words (see ``sizes``).
 FREQUENT, HASHED, CLASS = 768, 256, 32
 SIZE = FREQUENT + HASHED
 REACH = (-2, -1, 1, 2)
 HIDDEN = 32
 
 
+def sizes(distinct: int) -> tuple[int, int]:
+    """Numbers of frequent words and of shared ids for a corpus of so many distinct words."""
+    frequent = max(FREQUENT, -(-math.isqrt(distinct) // CLASS) * CLASS)
+    return frequent, max(HASHED, -(-frequent // 3 // CLASS) * CLASS)
+
+
 class Vocabulary:
-    def __init__(self, hashes: list[int]):
+    """Ids of words; ``counts`` is the table of all words (word, n), ``shared`` the words counted by shared id."""
+
+    def __init__(self, hashes: list[int], frequent: int = FREQUENT, hashed: int = HASHED, counts: DataFrame | None = None):
+        self.n_frequent, self.n_hashed, self.size = frequent, hashed, frequent + hashed
         self.frequent = np.array([h & (1 << 64) - 1 for h in hashes], np.uint64)
         self.order = np.argsort(self.frequent)
         self.sorted = self.frequent[self.order]
+        self.counts, self.shared = counts, np.zeros(hashed, np.int64)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        out = FREQUENT + (h >> U64(33)).astype(np.int64) % HASHED
+        out = self.n_frequent + (h >> U64(33)).astype(np.int64) % self.n_hashed
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
             known = self.sorted[at] == h
             out[known] = self.order[at[known]]
         return out
 
+    def alone(self) -> Vocabulary:
+        """Without the table, to be sent to tasks."""
+        out = copy.copy(self)
+        out.counts = None
+        return out
+
 
 class Network:
     """Parameters as one flat float32 array."""
 
-    SHAPES = (("embed", (len(REACH), SIZE + 1, HIDDEN)), ("bias", (HIDDEN,)), ("to_class", (HIDDEN, SIZE // CLASS)), ("class_bias", (SIZE // CLASS,)), ("to_word", (SIZE // CLASS, HIDDEN, CLASS)), ("word_bias", (SIZE // CLASS, CLASS)))
-
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 5):
-        n = sum(int(np.prod(s)) for _, s in self.SHAPES)
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 5, size: int = SIZE):
+        self.classes = size // CLASS
+        shapes = (("embed", (len(REACH), size + 1, HIDDEN)), ("bias", (HIDDEN,)), ("to_class", (HIDDEN, self.classes)), ("class_bias", (self.classes,)), ("to_word", (self.classes, HIDDEN, CLASS)), ("word_bias", (self.classes, CLASS)))
+        n = sum(int(np.prod(s)) for _, s in shapes)
         self.flat = np.random.default_rng(seed).normal(0, 0.1, n).astype(np.float32) if flat is None else flat.copy()
         self.view, at = {}, 0
-        for name, shape in self.SHAPES:
-            size = int(np.prod(shape))
-            self.view[name] = self.flat[at : at + size].reshape(shape)
-            at += size
+        for name, shape in shapes:
+            n = int(np.prod(shape))
+            self.view[name] = self.flat[at : at + n].reshape(shape)
+            at += n
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         e = self.view["embed"]
@@ -69,7 +96,7 @@ class Network:
         h = self.hidden(context)
         order = np.argsort(word, kind="stable")
         cls = word // CLASS
-        bounds = np.searchsorted(word[order], np.arange(SIZE // CLASS + 1) * CLASS)
+        bounds = np.searchsorted(word[order], np.arange(self.classes + 1) * CLASS)
         rows = np.arange(len(word))
         c = h @ v["to_class"] + v["class_bias"]
         c -= c.max(1, keepdims=True)
@@ -77,7 +104,7 @@ class Network:
         pc /= pc.sum(1, keepdims=True)
         sorted_h = h[order]
         pw = np.empty((len(word), CLASS), np.float32)
-        for k in range(SIZE // CLASS):
+        for k in range(self.classes):
             a, b = bounds[k], bounds[k + 1]
             if a < b:
                 pw[a:b] = sorted_h[a:b] @ v["to_word"][k] + v["word_bias"][k]
@@ -97,7 +124,7 @@ class Network:
         gw[np.arange(n), word[order] % CLASS] -= 1
         gh = gc @ v["to_class"].T
         sorted_h, gs = h[order], np.empty_like(h)
-        for k in range(SIZE // CLASS):
+        for k in range(self.classes):
             a, b = bounds[k], bounds[k + 1]
             if a < b:
                 gs[a:b] = gw[a:b] @ v["to_word"][k].T
@@ -116,9 +143,9 @@ class Network:
             v["embed"][i][token[first]] += np.add.reduceat(gh[at], first)
 
 
-def context_of(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ids at the neighbouring places; SIZE where the document has none."""
-    out = np.full((len(at), len(REACH)), SIZE)
+def context_of(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, none: int = SIZE) -> np.ndarray:
+    """Ids at the neighbouring places; ``none`` where the document has none."""
+    out = np.full((len(at), len(REACH)), none)
     for i, d in enumerate(REACH):
         there = at + d
         ok = (there >= 0) & (there < len(ids))
@@ -151,22 +178,42 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def vocabulary_of(docs: DataFrame) -> Vocabulary:
+    counts = cut(word_counts(docs), "words")
+    frequent, hashed = sizes(counts.count())
+    top = counts.orderBy(F.col("n").desc(), "word").limit(frequent).collect()
+    out = Vocabulary([r.word for r in top], frequent, hashed, counts)
+    alone = out.alone()
+
+    def totals(batches):
+        total = np.zeros(hashed, np.int64)
+        for batch in batches:
+            ids = alone.ids(batch.column("word").to_numpy().view(np.uint64))
+            rare = ids >= frequent
+            np.add.at(total, ids[rare] - frequent, batch.column("n").to_numpy()[rare])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(hashed)), pa.array(total)], ["id", "n"])
+
+    for r in counts.mapInArrow(totals, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out.shared[r.id] = r.n
+    return out
+
+
 def train(docs: DataFrame, rounds: int = 2, mask: int = 8, rate: float = 1.0, batch_size: int = 512) -> tuple[Vocabulary, Network]:
     """A vocabulary and a network from all documents; one word in ``mask`` is predicted per round, another each round."""
-    top = word_counts(docs).orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()
-    vocabulary, network = Vocabulary([r.word for r in top]), Network()
+    vocabulary = vocabulary_of(docs)
+    network, known = Network(size=vocabulary.size), vocabulary.alone()
     piece = -(-len(network.flat) // 16)
 
     for turn in range(rounds):
         start = network.flat
 
         def run(batches, start=start, turn=turn):
-            own, seen, held = Network(start), 0, []
+            own, seen = Network(start, size=known.size), 0
             for chunk in chunks(batches):
                 words = chunk.words(lower=True)
-                ids = vocabulary.ids(words.hash)
+                ids = known.ids(words.hash)
                 at = np.flatnonzero((np.arange(len(ids)) + words.doc) % mask == turn % mask)
-                context = context_of(ids, words.doc, at)
+                context = context_of(ids, words.doc, at, known.size)
                 for i in range(0, len(at), batch_size):
                     own.step(context[i : i + batch_size], ids[at[i : i + batch_size]], rate)
                 seen += len(at)
@@ -177,7 +224,7 @@ def train(docs: DataFrame, rounds: int = 2, mask: int = 8, rate: float = 1.0, ba
         copies = docs.mapInArrow(run, "piece int, task int, seen long, values binary")
         rows = _averaged(copies)
         if rows:
-            network = Network(np.concatenate([r for _, r in sorted(rows.items())]))
+            network = Network(np.concatenate([r for _, r in sorted(rows.items())]), size=vocabulary.size)
     return vocabulary, network
 
 
@@ -197,24 +244,77 @@ def _averaged(copies: DataFrame) -> dict[int, np.ndarray]:
     return {r.piece: np.frombuffer(r.values, np.float32) for r in grouped.groupBy("piece").applyInArrow(sums, schema).collect()}
 
 
+def rare_words(chunk_list: Iterable[Chunk], known: Vocabulary) -> np.ndarray:
+    """Sorted distinct words with a shared id."""
+    found = [np.zeros(0, np.uint64)]
+    for chunk in chunk_list:
+        h = np.unique(chunk.words(lower=True).hash)
+        found.append(h[known.ids(h) >= known.n_frequent])
+    return np.unique(np.concatenate(found))
+
+
+def answers(dealt: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """For each part and bucket of the hash space, the corpus counts of the rare words that the part holds."""
+    n, known = width(dealt.sparkSession), vocabulary.alone()
+
+    def ask(part: int, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_ask.send(part, n, rare_words(chunks(table.to_batches()), known))])
+
+    def post(batches):
+        for batch in batches:
+            h = batch.column("word").to_numpy().view(np.uint64)
+            order = np.argsort(h)
+            yield _ask.send(0, n, h[order], total=batch.column("n").to_numpy()[order])
+
+    def answer(key, asked: pa.Table, table: pa.Table) -> pa.Table:
+        h, count = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("__hash", "<u8"), ("total", "<i8")))
+        order = np.argsort(h)
+        h, count = np.append(h[order], U64(0)), np.append(count[order], 0)  # the last entry answers for what is absent
+        out = []
+        for raw in asked.column("__hash"):
+            want = np.frombuffer(raw.as_py(), "<u8")
+            at = np.searchsorted(h[:-1], want)
+            out.append(np.where(h[at] == want, count[at], 0).astype("<i8").tobytes())
+        return pa.table({_ask.PART: asked.column(_ask.PART), _ask.BUCKET: asked.column(_ask.BUCKET), "counts": pa.array(out, pa.binary())})
+
+    sent = _ask.per_part(dealt, ask, f"{_ask.BUCKET} int, {_ask.PART} int, __hash binary")
+    held = vocabulary.counts.mapInArrow(post, f"{_ask.BUCKET} int, {_ask.PART} int, __hash binary, total binary")
+    return sent.groupBy(_ask.BUCKET).cogroup(held.groupBy(_ask.BUCKET)).applyInArrow(answer, f"{_ask.PART} int, {_ask.BUCKET} int, counts binary")
+
+
 def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, block: int = 8192) -> DataFrame:
     """doc_id, n_words, sum_log_prob and mean_log_prob of every document."""
-    flat = network.flat
-
-    def run(batches):
-        own = Network(flat)
-        for chunk in chunks(batches):
+    flat, known = network.flat, vocabulary.alone()
+    parts = 2 * width(docs.sparkSession)
+    dealt = docs.select("doc_id", "text").withColumn(_ask.PART, F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+
+    def run(part: int, table: pa.Table, replies: pa.Table) -> pa.Table:
+        own = Network(flat, size=known.size)
+        rare = rare_words(chunks(table.to_batches()), known)
+        count = np.zeros(len(rare) + 1)
+        at = 0
+        for _, raw in sorted(zip(replies.column(_ask.BUCKET).to_pylist(), replies.column("counts").to_pylist())):
+            found = np.frombuffer(raw, "<i8")
+            count[at : at + len(found)] = found
+            at += len(found)
+        share = np.log(np.maximum(count, 1))  # of a shared id, whose words and one never counted divide it
+        whole = np.log(known.shared + 1.0)
+        out = [pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "sum_log_prob": pa.array([], pa.float64()), "mean_log_prob": pa.array([], pa.float64())})]
+        for chunk in chunks(table.to_batches()):
             words = chunk.words(lower=True)
-            ids = vocabulary.ids(words.hash)
-            out = np.empty(len(ids))
+            ids = known.ids(words.hash)
+            log = np.empty(len(ids))
             for i in range(0, len(ids), block):
                 at = np.arange(i, min(i + block, len(ids)))
-                out[at], _ = own.forward(context_of(ids, words.doc, at), ids[at])
-            total = np.bincount(words.doc, out, minlength=len(chunk)).astype(np.float64)
+                log[at], _ = own.forward(context_of(ids, words.doc, at, known.size), ids[at])
+            few = np.flatnonzero(ids >= known.n_frequent)
+            log[few] += share[np.searchsorted(rare, words.hash[few])] - whole[ids[few] - known.n_frequent]
+            total = np.bincount(words.doc, log, minlength=len(chunk)).astype(np.float64)
             n = words.count
-            yield pa.RecordBatch.from_arrays([id_array(chunk.ids), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_words", "sum_log_prob", "mean_log_prob"])
+            out.append(pa.table({"doc_id": id_array(chunk.ids), "n_words": pa.array(n), "sum_log_prob": pa.array(total), "mean_log_prob": pa.array(total / np.maximum(n, 1), mask=n == 0)}))
+        return pa.concat_tables(out)
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, sum_log_prob double, mean_log_prob double")
+    return _ask.with_replies(dealt, answers(dealt, vocabulary), run, "doc_id long, n_words long, sum_log_prob double, mean_log_prob double")
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:

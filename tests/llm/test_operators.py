@@ -347,6 +347,30 @@ def test_lm(docs, empty, rows):
     assert lm_scoring.score_corpus(empty).count() == 0
 
 
+def test_lm_tells_rare_words_apart_by_their_counts(spark):
+    rng = random.Random(6)
+    frequent, rare = [f"w{i}" for i in range(800)], [f"r{i}" for i in range(300)]
+    texts = [" ".join(rng.sample(frequent, len(frequent))) for _ in range(6)] + [w for i, w in enumerate(rare) for _ in range(1 + i % 3)]
+    count = {}
+    for w in " ".join(texts).split():
+        count[w] = count.get(w, 0) + 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    vocabulary, network = lm_scoring.train(df)
+    rows = spark.createDataFrame([(0, " ".join(count))], "doc_id long, text string").toArrow().to_batches()
+    ids = dict(zip(count, vocabulary.ids(next(lm_scoring.chunks(rows)).words(lower=True).hash).tolist()))
+    totals = [0] * vocabulary.n_hashed
+    for w, n in count.items():
+        if ids[w] >= vocabulary.n_frequent:
+            totals[ids[w] - vocabulary.n_frequent] += n
+    assert vocabulary.shared.tolist() == totals
+    got = {texts[r.doc_id]: r.sum_log_prob for r in lm_scoring.score(df, vocabulary, network).collect()}
+    pairs = [(a, b) for a in rare for b in rare if ids[a] == ids[b] >= vocabulary.n_frequent and count[a] > count[b]]
+    assert len(pairs) > 10 and all(abs(got[a] - got[b] - np.log(count[a] / count[b])) < 1e-4 for a, b in pairs)
+    unseen = spark.createDataFrame([(0, "neverseen"), (1, None)], "doc_id long, text string")
+    assert all(np.isfinite(r.sum_log_prob) for r in lm_scoring.score(unseen, vocabulary, network).collect())
+    assert lm_scoring.sizes(1000) == (768, 256) and lm_scoring.sizes(4_000_000) == (2016, 672)
+
+
 def test_network_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     net = lm_scoring.Network()
