@@ -7,8 +7,9 @@ distinct words there are; the others share hashed ids, and the probability of su
 by their counts, so each distinct word has a probability of its own, and one is left for words never counted.
 The counts stay in a table: parts of the corpus ask it for the words they hold.
 
-Training is spread over the cluster and uses every document: each task trains a copy on masked positions
-of its documents, and copies are averaged by the words they saw, chunk of parameters by chunk, round by round. The driver holds one set of parameters and the frequent words,
+Training is spread over the cluster and predicts every word of every document: each task trains a copy on masked
+positions of its documents, residue after residue of the place in the document, and copies are averaged by the words
+they saw, chunk of parameters by chunk, round by round. The driver holds one set of parameters and the frequent words,
 whose number follows the square root of the number of distinct words.
 
 Edge cases: null text has no words; a document without words has sum 0 and no mean; a null doc_id is kept; repeated
@@ -198,8 +199,13 @@ def vocabulary_of(docs: DataFrame) -> Vocabulary:
     return out
 
 
+def turns(place: np.ndarray, turn: int, rounds: int, mask: int) -> list[np.ndarray]:
+    """Positions that a round predicts, mask residue by mask residue of their place in the document; the rounds together take all."""
+    return [np.flatnonzero(place % mask == residue) for residue in range(turn % mask, mask, rounds)]
+
+
 def train(docs: DataFrame, rounds: int = 2, mask: int = 8, rate: float = 1.0, batch_size: int = 512) -> tuple[Vocabulary, Network]:
-    """A vocabulary and a network from all documents; one word in ``mask`` is predicted per round, another each round."""
+    """A vocabulary and a network from all words of all documents; one word in ``mask`` is predicted at a time."""
     vocabulary = vocabulary_of(docs)
     network, known = Network(size=vocabulary.size), vocabulary.alone()
     piece = -(-len(network.flat) // 16)
@@ -212,11 +218,11 @@ def train(docs: DataFrame, rounds: int = 2, mask: int = 8, rate: float = 1.0, ba
             for chunk in chunks(batches):
                 words = chunk.words(lower=True)
                 ids = known.ids(words.hash)
-                at = np.flatnonzero((np.arange(len(ids)) + words.doc) % mask == turn % mask)
-                context = context_of(ids, words.doc, at, known.size)
-                for i in range(0, len(at), batch_size):
-                    own.step(context[i : i + batch_size], ids[at[i : i + batch_size]], rate)
-                seen += len(at)
+                for at in turns(np.arange(len(ids)) - words.first[words.doc], turn, rounds, mask):
+                    context = context_of(ids, words.doc, at, known.size)
+                    for i in range(0, len(at), batch_size):
+                        own.step(context[i : i + batch_size], ids[at[i : i + batch_size]], rate)
+                    seen += len(at)
             if seen:
                 part = [own.flat[i : i + piece] for i in range(0, len(own.flat), piece)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(part), pa.int32()), pa.array([seen] * len(part), pa.int64()), pa.array([p.tobytes() for p in part], pa.binary())], ["piece", "task", "seen", "values"])

@@ -371,6 +371,18 @@ def test_lm_tells_rare_words_apart_by_their_counts(spark):
     assert lm_scoring.sizes(1000) == (768, 256) and lm_scoring.sizes(4_000_000) == (2016, 672)
 
 
+def test_lm_training_predicts_every_word(spark):
+    words_ = [["a"], ["b", "c"], [f"w{i}" for i in range(12)]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words_)] + [(3, None)], "doc_id long, text string").coalesce(1)
+    _, network = lm_scoring.train(df, rate=1e-3, batch_size=1)
+    fresh = lm_scoring.Network()
+    # steps so small that only who was a target has a larger bias after
+    vocabulary = lm_scoring.vocabulary_of(df)
+    ids = vocabulary.ids(next(lm_scoring.chunks(df.toArrow().to_batches())).words(lower=True).hash)
+    rise = (network.view["word_bias"] - fresh.view["word_bias"]).ravel()
+    assert len(ids) == 15 and (rise[ids] > 0).all()
+
+
 def test_network_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     net = lm_scoring.Network()
