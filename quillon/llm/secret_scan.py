@@ -1,6 +1,7 @@
 """Secret scanning with a random forest that removes false positives; DataFrame and SQL functions only.
 
-Candidates are runs of key-like characters that hold a digit, taken with the word and the sign before them. Each
+Candidates are runs of key-like characters, and shorter and wider runs after words that name a secret, with the word
+and the sign before them. Each
 gets its length, its character transitions (how likely its letters follow each other in words, how often letters
 and digits change places), how much of it words of a dictionary cover, its path and its neighbouring words. The
 forest is trained on the driver from labelled findings (a bounded set) whose features come from the same
@@ -20,9 +21,15 @@ from pyspark.sql import functions as F
 OUT = ("n_candidates", "findings")
 MASK = "<SECRET>"
 KEY = "A-Za-z0-9+/_-"
-PATTERN = rf"(?:(?<![{KEY}])(?![{KEY}]{{12}})([^\s\"'=:]{{1,24}})(\s*[=:]\s*[\"']?|\s+[\"']?))?(?<![{KEY}])(?=[A-Za-z+/_-]*[0-9])([{KEY}]{{12,}})"
 # Words that name a secret, words that name a digest or an id, paths of examples, and a small dictionary.
 NAMES = "token password passwd pwd secret key apikey api_key access auth credential private bearer".split()
+#: A candidate is a run of key characters, or after a word that names a secret any run of six signs without its closing
+#: punctuation. The word before is looked back at, not matched, since it may be a candidate itself.
+BEFORE = r"(?<=(?<![^\s\"'=:])([^\s\"'=:]{1,24})(\s{0,4}[=:]\s{0,4}[\"']?|\s{1,4}[\"']?))"
+AFTER_NAME = rf"(?<=[\s=:\"'])(?=[^\s\"'=:][^\s\"']{{5}})(?<=(?i:{'|'.join(NAMES)})(?:\s{{0,4}}[=:]\s{{0,4}}|\s)[\"']?)(?=[^\s\"'=:])"
+WIDE = r"[^\s\"']{5,}[^\s\"'.,;:)\]}>]"
+RUN = rf"(?<![{KEY}])[{KEY}]{{12,}}"
+PATTERN = rf"(?<![{KEY}])(?=(?:{RUN}|{AFTER_NAME}{WIDE}))(?:{BEFORE})?((?:{RUN}(?![^\s\"'.,;:)\]}}>]))|{AFTER_NAME}{WIDE}|{RUN})"
 DIGESTS = "sha1 sha256 sha512 md5 commit revision checksum digest etag uuid guid hash build version".split()
 EXAMPLES = "test tests example examples sample fixture fixtures mock docs".split()
 DICTIONARY = (
@@ -61,8 +68,8 @@ def described(text: Column, path: Column) -> Column:
     """Array of structs with each candidate of a text, and its features."""
     table = "array(" + ",".join(f"{x}D" for x in transitions()) + ")"
     code = f"transform(filter(split(lower(c.cand), ''), z -> z rlike '[a-z0-9]'), z -> instr({_sql(ALPHABET)}, z) - 1)"
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
-    parts = F.transform(found, lambda m: F.struct(*[F.regexp_extract(m, PATTERN, i).alias(name) for i, name in ((1, "prev"), (2, "sign"), (3, "cand"))]))
+    found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(i)).alias(name) for i, name in ((1, "prev"), (2, "sign"), (3, "cand"))]
+    parts = F.arrays_zip(*found)
     size = "CAST(length(c.cand) AS DOUBLE)"
     words = "|".join(sorted(DICTIONARY, key=len, reverse=True))
     share = lambda keep: f"length(regexp_replace(c.cand, '[^{keep}]', '')) / {size}"
@@ -99,7 +106,8 @@ def candidates(docs: DataFrame, text_col: str, path_col: str | None) -> DataFram
 def labelled_findings(seed: int = 7, each: int = 220) -> list[tuple[str, str, int]]:
     """Texts with one candidate, their paths, and whether it is a secret: a bounded training set made by rule."""
     rng = np.random.default_rng(seed)
-    chars = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "digits": "0123456789", "lower": "abcdefghijklmnopqrstuvwxyz"}
+    chars = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "digits": "0123456789", "lower": "abcdefghijklmnopqrstuvwxyz", "capitals": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "vowels": "aeiou", "consonants": "bcdfghklmnprstvw", "punctuation": "!@#$%&*?"}
+    chars |= {"letters": chars["lower"] + chars["capitals"], "signs": chars["base62"] + chars["punctuation"]}
     draw = lambda kind, n: "".join(rng.choice(list(chars[kind]), n))
     pick = lambda xs: str(rng.choice(xs))
     filler = lambda: pick([draw("lower", int(rng.integers(2, 9))), pick(DICTIONARY), "the", "of"])
@@ -113,10 +121,15 @@ def labelled_findings(seed: int = 7, each: int = 220) -> list[tuple[str, str, in
     lower_or_upper = lambda s: s.upper() if rng.random() < 0.25 else s
     secret = (
         lambda: pick(NAMES) + sign() + quote(lower_or_upper(digit(draw("hex", n(16, 65))))),
-        lambda: pick(NAMES) + sign() + quote(digit(draw("base62", n(16, 48)))),
-        lambda: filler() + " " + digit("AKIA" + draw("upper", 16)),
-        lambda: filler() + " " + digit(pick(["ghp_", "sk-", "xoxb-", "glpat-"]) + draw("base62", n(20, 40))),
+        lambda: pick(NAMES) + sign() + quote(draw("base62", n(16, 48))),
+        lambda: filler() + " " + "AKIA" + draw("upper", 16),
+        lambda: filler() + " " + pick(["ghp_", "sk-", "xoxb-", "glpat-"]) + draw("base62", n(20, 40)),
         lambda: filler() + pick([" ", " = "]) + quote(lower_or_upper(digit(draw("hex", 40)))),
+        lambda: pick(NAMES) + sign() + quote(draw("signs", n(8, 20)) + draw("base62", 1)),
+        lambda: pick(NAMES) + sign() + quote(leet() + draw("punctuation", n(1, 3)) + draw("digits", n(0, 4)) + draw("base62", 1)),
+        lambda: pick(NAMES) + sign() + quote(draw("base62", n(8, 16))),
+        lambda: pick(NAMES) + sign() + quote(draw(pick(["letters", "capitals"]), n(16, 40))),
+        lambda: filler() + " AKIA" + draw("capitals", 16),
     )
     harmless = (
         lambda: filler() + " " + draw("digits", n(12, 20)),
@@ -125,7 +138,17 @@ def labelled_findings(seed: int = 7, each: int = 220) -> list[tuple[str, str, in
         lambda: filler() + pick([" ", "="]) + "-".join(draw("hex", k) for k in (8, 4, 4, 4, 12)) + "1",
         lambda: filler() + " 20" + draw("digits", 2) + "-0" + draw("digits", 1) + "-1" + draw("digits", 1) + "_" + pick(DICTIONARY),
         lambda: pick(NAMES) + sign() + pick(["changeme12345", "your_token_here_1", "xxxxxxxxxxxx1", "example-password-1", "placeholder_key_01", "000000000000"]),
+        lambda: pick(NAMES) + " " + long_word(),
+        lambda: pick(NAMES) + sign() + pick(["changeme", "password", "example", "your_password", "<password>", "${TOKEN}", "required", "optional", "https://" + pick(DICTIONARY) + ".com/" + pick(DICTIONARY)]),
+        lambda: filler() + " " + pick(DICTIONARY) + pick(DICTIONARY) + pick(DICTIONARY) + "ing",
+        lambda: filler() + " " + spoken(n(5, 9)),
+        lambda: filler() + " " + "".join(pick(DICTIONARY).capitalize() for _ in range(3)) + "Factory",
+        lambda: filler() + " " + pick(list("/-_")).join(["module", *(pick(DICTIONARY) for _ in range(n(2, 5)))]),
+        lambda: filler() + " " + pick(list("x-_=a+/")).replace("=", "-") * n(12, 80),
     )
+    leet = lambda: pick(DICTIONARY).replace("a", "@").replace("o", "0").replace("e", "3")
+    long_word = lambda: pick([w for w in DICTIONARY if len(w) >= 6])
+    spoken = lambda k: "".join(draw("consonants", 1) + draw("vowels", 1) + pick(["", "n", "r", "s"]) for _ in range(k)) + "nden"
     pick_n = lambda xs: int(rng.choice(xs))
     out = []
     for label, kinds in ((1, secret), (0, harmless)):
