@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _ask
 from ._store import cut, width
@@ -291,7 +292,7 @@ def links(tasks: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, print (of the set) and component_id of every document."""
+    """doc_id, n_shingles, print (of the set), root (print that stands for the component) and component_id of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = cut(facts(docs, k), "sets")
     each = known.where("piece is null")
@@ -329,22 +330,44 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     final = components(found)
     in_class = classes.join(final, classes["print"] == final.node, "left").select("print", F.coalesce("root", "print").alias("root"), "first_id")
-    named = in_class.join(in_class.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("print", "component_id")
+    named = in_class.join(in_class.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("print", "root", "component_id")
     joined = rows.join(named, "print", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), "print", own.alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), "print", "root", own.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id."""
-    return linked(docs).drop("print")
+    return linked(docs).drop("print", "root")
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays; rows without an id or words stay too.
+def printed(docs: DataFrame, k: int) -> DataFrame:
+    """docs with ``__print`` of their sets, null where a set is empty."""
 
-    Texts are near copies here at a similarity of 0.8 over five words. Of rows that repeat one doc_id and text, one stays.
+    def run(batches):
+        for chunk in chunks(batches):
+            s = Sets(chunk, k)
+            yield pa.RecordBatch.from_arrays([*chunk.rows.columns, pa.array(s.print_, mask=s.n == 0)], [*chunk.rows.schema.names, "__print"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__print", T.LongType())]))
+
+
+def stage(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Pipeline stage: one row of each component stays, one with the smallest doc_id; rows without words stay too.
+
+    Texts are near copies here at a similarity of 0.8 over five words. Rows are told apart by id and set; a null id
+    comes after all others.
     """
-    keep = linked(docs, k=5, percent=80).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(keep, "doc_id", "left_anti")
-    return rest
+    each = linked(docs, k, percent).where("n_shingles > 0").groupBy("root", "doc_id", "print").agg(F.count("*").alias("copies"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("m"))
+    stays = (F.col("print") == F.col("m.print")) & F.col("doc_id").eqNullSafe(F.col("m.doc_id"))
+    verdict = cut(each.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("print").alias("__of"), stays.alias("__stays"), "copies").where("not __stays or copies > 1"), "verdict")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    rows = printed(docs, k)
+    rest = rows.join(verdict, same & (F.col("__print") == F.col("__of")), "left_anti")
+    often = verdict.where("__stays")
+    if not often.isEmpty():
+        copies = printed(docs.join(often, same, "left_semi"), k).join(often, same & (F.col("__print") == F.col("__of")), "left_semi")
+        by = Window.partitionBy("doc_id", "__print").orderBy("text")
+        rest = rest.unionByName(copies.withColumn("__nth", F.row_number().over(by)).where("__nth = 1").drop("__nth"))
+    return rest.drop("__print")

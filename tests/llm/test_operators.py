@@ -216,6 +216,16 @@ def test_jaccard_stage_takes_five_words_at_four_fifths(spark):
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_jaccard_stage_keeps_one_row_of_each_component(spark):
+    rng = random.Random(21)
+    a, b, c, d = (sentence(rng, 60) for _ in range(4))
+    near = a + " more words"
+    data = [(1, a), (1, a), (2, near), (None, a), (None, a), (3, b), (3, near), (4, b), (None, c), (None, c), (5, d), (5, d), (6, None), (6, None), (None, ""), (7, near)]
+    got = jaccard_join.stage(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
+    want = [(1, a), (3, b), (None, c), (5, d), (6, None), (6, None), (None, "")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and got.columns == ["doc_id", "text"]
+
+
 def test_t_occurrence_finds_every_pair():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
