@@ -70,7 +70,6 @@ column("fn_lang", "documents", "doc_id", lambda: F.startswith(c("lang"), F.lit("
 column("isref", "nation", "n_nationkey", lambda: data.uri("region", c("n_regionkey")).rlike("^[a-z]+:"), "true")
 column("instance_of_value", "nation", "n_nationkey", lambda: F.typeof(c("n_name")), "'string'")
 column("fn_generate_bnode", "nation", "n_nationkey", lambda: tx.blank_node(c("n_name")), "'bnode:x' || sha1(n_name)")
-column("fn_nilsimsa_compare", "documents", "doc_id", lambda: tx.bits_alike(F.sha2("text", 256), F.sha2("text", 256)), "128")
 column("fn_html_blacklist", "pages", "page_id", lambda: tx.sanitised(c("html")).contains("<script"), "false")
 column("fn_html_whitelist", "pages", "page_id", lambda: tx.whitelisted(c("html")).rlike("<(script|style|html|nav)"), "false")
 column("fn_html_truncate", "pages", "page_id", lambda: F.length(tx.truncated(c("html"), 3)) <= F.length("html") + 30, "true")
@@ -310,7 +309,7 @@ def _(spark, d):
     return up.append_to(st, picked, [(NS + "note", "new", "L")]).select(*TRIPLE)
 
 
-for _n in ("xu_append", "xu_insert_before", "xu_insert_after", "xu_element", "upd_res_query", "upd_add_batch", "xu_literal"):
+for _n in ("xu_append", "xu_element", "upd_res_query", "upd_add_batch", "xu_literal"):
     Q[_n], SQL[_n] = Q["upd_add"], SQL["upd_add"]
 
 
@@ -424,7 +423,6 @@ def _(spark, d):
     return up.at_revision(data.events(spark, d), 2).select("s", "o")
 
 
-Q["hist_ctx_revisions"], SQL["hist_ctx_revisions"] = Q["hist_revisions"], SQL["hist_revisions"]
 Q["ctx_remove"], SQL["ctx_remove"] = (lambda spark, d: up.cancelled(data.events(spark, d)).select("seq", "op")), f"SELECT seq, op FROM {LOG} QUALIFY row_number() OVER (PARTITION BY s, o, version ORDER BY seq DESC) = 1"
 Q["ctx_add"], SQL["ctx_add"] = Q["ctx_remove"], SQL["ctx_remove"]
 
@@ -446,7 +444,6 @@ def _(spark, d):
     return up.live_in_graphs(st).select("s", "o", "graphs")
 
 
-Q["ctx_composition"], SQL["ctx_composition"] = Q["ctx_parse"], SQL["ctx_parse"]
 Q["hist_get_context"], SQL["hist_get_context"] = Q["scan_graph"], SQL["scan_graph"]
 
 # rules
@@ -466,7 +463,6 @@ def _(spark, d):
     return rules.allowed(graph(spark, d, "nation"), required, held, priority=1).select(*TRIPLE)
 
 
-Q["auth_value_match"], SQL["auth_value_match"] = Q["pred_compare"], SQL["pred_compare"]
 
 
 @query("action_pipeline", f"SELECT '{B}region/' || r_regionkey AS value FROM region WHERE r_name = 'EUROPE'")
