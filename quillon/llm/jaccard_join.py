@@ -1,14 +1,19 @@
-"""Exact Jaccard join over word n-grams: T-occurrence search with DivideSkip.
-
-Documents with one set form a class, and only one document of a class goes on. A class is posted under its rarest
-shingles (by counts of the whole corpus, kept in a table of fixed size): two sets that are similar enough share one
-of these. Classes that meet in a list and are of fitting sizes are paired, and pairs whose parity bits rule a link out are
-dropped (in lists too long for pairs they are chained); what is left makes candidate components, and every link lies
-inside one of them. A component is searched in blocks of bounded size: inverted lists over the
-block, the short ones merged, the long ones probed by binary search for those that can still reach the threshold,
-and members with the required overlap kept. A component of many blocks is first searched against one of its
-blocks; what that leaves apart from its largest part is then searched against all blocks. So a large group of
-near copies costs its size, not its square, and no link is lost. Links are returned as a spanning forest.
+"""Exact Jaccard join over word n-grams: T-occurrence search with DivideSkip over a partitioned inverted index.
+
+Documents with one set form a class, and only one document of a class goes on. Every class is posted in the inverted
+lists of its rarest shingles (by counts of the whole corpus, kept in a table of fixed size): of a set of n items as
+many as must hold t = 1 + n / 20 of those it shares with any partner, the longer lists being left for probing. Two
+linked classes therefore meet in t lists; a class that meets others of fitting sizes in fewer lists goes no further,
+which leaves little but true near copies.
+
+The index is partitioned into blocks by the smallest hash of a set, which near copies mostly have in common, and a
+block too large for a task is split. What a block holds is searched within itself first. Then classes visit
+other blocks: the largest they meet in their lists, and after that all in which they meet, in t lists again, a class
+that is in another component by then. Each set is shipped once to a block it meets, and those who visit a block come in
+batches of bounded size. Inside a block, members are first compared with a few pivots; who is then
+outside the largest component is a query of the T-occurrence search: short lists merged and counted, the
+longest, fewer than the overlap asks for, probed by binary search for those who can still reach it. So a large
+group of near copies costs about its size, and no link between components is lost. Links are a spanning forest.
 
 Shingles and sets are compared by 64-bit hashes.
 
@@ -26,17 +31,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _ask
-from ._store import cut, width
+from ._store import cut
 from ._text import Chunk, Prefix, U64, chunks, id_array, mix
 from .components import components
 
-SLOTS, PIECES, BLOCK = 1 << 19, 64, 512
-#: Longs of a set's parity bits; lists longer than SHORT are chained, not paired.
-LONGS, SHORT = 16, 128
+#: Slots of the count table, and the pieces it is added up in.
+SLOTS, PIECES = 1 << 19, 64
+#: Shingles that a task searches at a time (of those who live in a block, and of those who visit it), and that feed one range of lists.
+HELD, FED = 1 << 21, 1 << 21
+#: Lists of shingles more frequent than this are not checked for company in one task: their entries all go on.
+HOT = 1 << 22
+#: Pivots that a block's members are compared with before the search.
+PIVOTS = 16
 #: Bits of the filter that spares other documents' sets the shuffle: at most 32 MB; a full filter only spares less.
 MOST_BITS = 1 << 28
 
 
+def occurrences(n):
+    """How many of its lists a class of n shingles must share with a partner of that size or more."""
+    return 1 + n // 20
+
+
 class Sets:
     """Distinct shingles of a chunk's documents, by document and hash."""
 
@@ -58,17 +73,18 @@ class Sets:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hash), dtype=np.uint64)])
         self.print_ = mix((total[self.first[1:]] - total[self.first[:-1]]) ^ (self.n.astype(np.uint64) * U64(0x9E3779B97F4A7C15))).view(np.int64)
 
-
-def parities(s: Sets) -> pa.Array:
-    """Of each set, how often each of some bits is hit, modulo 2: two sets differ in as many items as bits, or more."""
-    n, wide = len(s.n), 64 * LONGS
-    odd = np.bincount(s.doc * wide + (s.hash >> U64(54)).astype(np.int64) % wide, minlength=n * wide).astype(np.uint8) & 1
-    longs = np.packbits(odd.reshape(n, wide), axis=1).reshape(-1).view("<i8")
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * LONGS, pa.int32()), pa.array(longs))
+    def homes(self) -> np.ndarray:
+        """The smallest mixed hash of each set; 0 for an empty one."""
+        out = np.zeros(len(self.n), np.uint64)
+        full = self.n > 0
+        if full.any():
+            out[full] = np.minimum.reduceat(mix(self.hash), self.first[:-1][full])
+        return out.view(np.int64)
 
 
 def facts(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document (id, size, print and parities of its set), and rows with pieces of the count table."""
+    """A row for each document (id, size, print and home of its set), and rows with pieces of the count table."""
+    names = ["doc_id", "n", "print", "home", "piece", "counts"]
 
     def run(batches):
         count = np.zeros(SLOTS, np.uint32)
@@ -77,12 +93,12 @@ def facts(docs: DataFrame, k: int) -> DataFrame:
             s = Sets(chunk, k)
             count += np.bincount((s.hash >> U64(45)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
             some = True
-            yield pa.RecordBatch.from_arrays([id_array(chunk.ids), pa.array(s.n), pa.array(s.print_), parities(s), pa.nulls(len(chunk), pa.int32()), pa.nulls(len(chunk), pa.binary())], ["doc_id", "n", "print", "parity", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([id_array(chunk.ids), pa.array(s.n), pa.array(s.print_), pa.array(s.homes()), pa.nulls(len(chunk), pa.int32()), pa.nulls(len(chunk), pa.binary())], names)
         if some:
             blobs = [c.tobytes() for c in np.split(count, PIECES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.list_(pa.int64())), pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "print", "parity", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(PIECES, pa.int64())] * 4, pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, print long, parity array<long>, piece int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, print long, home long, piece int, counts binary")
 
 
 def count_table(known: DataFrame) -> np.ndarray:
@@ -107,9 +123,8 @@ def rare_first(s: Sets, counts: np.ndarray) -> np.ndarray:
     return np.lexsort((s.hash, counts[(s.hash >> U64(45)).astype(np.int64)], s.doc))
 
 
-def chains(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b, long) of classes that connect all candidates: all pairs of fitting sizes in short lists, chains in long ones."""
-    n = width(docs.sparkSession)
+def postings(docs: DataFrame, counts: np.ndarray, ranges: int, k: int, percent: int) -> DataFrame:
+    """Entries (h, print, n) of the inverted lists of rare shingles that have a class of a fitting size beside them."""
 
     def post(batches):
         held: list[tuple[np.ndarray, ...]] = []
@@ -118,15 +133,15 @@ def chains(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFra
             s = Sets(chunk, k)
             order = rare_first(s, counts)
             nth = np.arange(len(order)) - s.first[s.doc]
-            need = s.n - (percent * s.n + 99) // 100 + 1
-            at = order[nth < need[s.doc]]
+            most = s.n - (percent * s.n + 99) // 100 + occurrences(s.n)
+            at = order[nth < most[s.doc]]
             held.append((s.hash[at], s.print_[s.doc[at]], s.n[s.doc[at]].astype("<u4")))
             size += len(at)
             if size > 1_500_000:
-                yield out(held)
+                yield from out(held)
                 held, size = [], 0
         if held:
-            yield out(held)
+            yield from out(held)
 
     def out(held):
         h, p, m = (np.concatenate(x) for x in zip(*held))
@@ -134,51 +149,46 @@ def chains(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFra
         h, p, m = h[order], p[order], m[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1])
-        b = _ask.send(0, n, h[new], prints=p[new], sizes=m[new])
-        narrow = pa.array([np.frombuffer(x, "<u8").astype("<u4").tobytes() for x in b.column("__hash").to_pylist()], pa.binary())
-        return pa.RecordBatch.from_arrays([b.column(0), narrow, b.column("prints"), b.column("sizes")], [_ask.BUCKET, "h", "prints", "sizes"])
-
-    def chain(bucket: int, table: pa.Table) -> pa.Table:
-        h, p, m = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("h", "<u4"), ("prints", "<i8"), ("sizes", "<u4")))
+        h, p, m = h[new], p[new], m[new]
+        hot = counts[(h >> U64(45)).astype(np.int64)] > HOT
+        bucket = np.searchsorted(_ask.edges(ranges), h, "right") - 1
+        bucket[hot] = ranges + (p[hot].view(np.uint64) % U64(ranges)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable") if hot.any() else np.arange(len(h))
+        h, p, m, bucket = h[by], p[by], m[by], bucket[by]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(h) else np.zeros(0, np.int64)
+        cuts = list(zip(first.tolist(), np.append(first[1:], len(h)).tolist()))
+        blobs = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (h, p, m)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), *blobs], [_ask.BUCKET, "h", "prints", "sizes"])
+
+    def company(bucket: int, table: pa.Table) -> pa.Table:
+        h, p, m = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("h", "<u8"), ("prints", "<i8"), ("sizes", "<u4")))
         order = np.lexsort((p, m, h))
         h, p, m = h[order], p[order], m[order].astype(np.int64)
-        if len(h):  # tasks each post a class once; copies of it are next to each other now
-            once = np.append(True, (h[1:] != h[:-1]) | (p[1:] != p[:-1]))
-            h, p, m = h[once], p[once], m[once]
-        new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        length = np.repeat(np.diff(np.append(new, len(h))), np.diff(np.append(new, len(h))))
-        fit = lambda i, j: (h[i] == h[j]) & (p[i] != p[j]) & (100 * m[i] >= percent * m[j])
-        i = np.arange(len(h) - 1) if len(h) else np.zeros(0, np.int64)
-        i = i[(length[i] > SHORT) & fit(i, i + 1)] if len(i) else i
-        a, b = forest(p[i], p[i + 1])
-        pairs = []
-        for step in range(1, SHORT):
-            i = np.flatnonzero((length[step:] <= SHORT) & (h[step:] == h[:-step])) if len(h) > step else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            i = i[fit(i, i + step)]
-            pairs.append(np.stack([np.minimum(p[i], p[i + step]), np.maximum(p[i], p[i + step])], 1))
-        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        return pa.table({"a": np.concatenate([a, pairs[:, 0]]), "b": np.concatenate([b, pairs[:, 1]]), "long": np.arange(len(a) + len(pairs)) < len(a)})
+        once = np.ones(len(h), bool)  # tasks each post a class once; copies of it are next to each other now
+        once[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1])
+        h, p, m = h[once], p[once], m[once]
+        if bucket < ranges:
+            beside = (h[1:] == h[:-1]) & (100 * m[:-1] >= percent * m[1:])
+            keep = np.append(beside, False)
+            keep[1:] |= beside
+            h, p, m = h[keep], p[keep], m[keep]
+        return pa.table({"h": h.view(np.int64), "print": p, "n": m})
 
     posted = docs.mapInArrow(post, f"{_ask.BUCKET} int, h binary, prints binary, sizes binary")
-    return _ask.per_bucket(posted, chain, "a long, b long, long boolean").groupBy("a", "b").agg(F.bool_or("long").alias("long"))
-
-
-def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose parities do not rule a link out; the chains of long lists stay."""
-    facts_ = lambda x: classes.select(F.col("print").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
-    both = pairs.join(facts_("a"), "a").join(facts_("b"), "b")
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    total = F.col("na") + F.col("nb")
-    overlap = F.ceil(F.lit(percent) * total / F.lit(100 + percent))
-    return both.where(F.col("long") | (differ <= total - 2 * overlap)).select("a", "b")
+    return _ask.per_bucket(posted, company, "h long, print long, n long")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges with the same components as edges (a, b)."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    label = labels(len(nodes), at[: len(a)], at[len(a) :])
+    apart = label != np.arange(len(nodes))
+    return nodes[label[apart]], nodes[apart]
+
+
+def labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest node of the component of each of n nodes."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[x], label[y])
         new = label.copy()
@@ -186,60 +196,105 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.minimum.at(new, label[y], low)
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    apart = label != np.arange(len(nodes))
-    return nodes[label[apart]], nodes[apart]
 
 
-def t_occurrence(sets: list[np.ndarray], percent: int = 85) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs among some sets of hashes, each linked pair once.
+class Index:
+    """Inverted lists over some sets; members of a list are in order."""
 
-    Sets are the queries, one after the other, against those after them. Lists are split by DivideSkip: the
-    longest are set aside, fewer than the overlap asks for; the others are merged, and who occurs often enough
-    is looked up in the long ones.
-    """
-    size = np.array([len(s) for s in sets], np.int64)
-    item = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    owner = np.repeat(np.arange(len(sets)), size)
-    order = np.lexsort((owner, item))
-    sorted_owner = owner[order]
-    keys, start, length = np.unique(item[order], return_index=True, return_counts=True)
-    place = np.searchsorted(keys, item)
-    offset = np.concatenate([[0], np.cumsum(size)])
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for q in range(len(sets)):
-        lists = place[offset[q] : offset[q + 1]]
-        lists = lists[length[lists] > 1]
-        least = (percent * size[q] + 99) // 100  # of all partners of fitting size, the smallest needs this overlap
+    def __init__(self, sets: list[np.ndarray], owners: np.ndarray):
+        item = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        owner = np.repeat(owners, [len(s) for s in sets]) if len(sets) else np.zeros(0, np.int64)
+        order = np.lexsort((owner, item))
+        self.member = owner[order]
+        self.keys, self.start, self.length = np.unique(item[order], return_index=True, return_counts=True)
+
+    def lists(self, items: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, items), len(self.keys) - 1)
+        return at[self.keys[at] == items]
+
+    def search(self, items: np.ndarray, size: np.ndarray, percent: int, wanted: np.ndarray) -> np.ndarray:
+        """Wanted members linked with a set of items: DivideSkip at the overlap that any partner needs."""
+        n = len(items)
+        lists = self.lists(items)
+        least = (percent * n + 99) // 100
         if len(lists) < least:
-            continue
-        by = np.argsort(length[lists], kind="stable")
-        longest = int(length[lists[by[-1]]])
-        aside = min(int(least / (1 + 0.1 * np.log2(longest + 1))), int(least) - 1) if longest > 64 else 0
-        short, long_ = lists[by[: len(lists) - aside]], lists[by[len(lists) - aside :]]
-        runs = length[short]
+            return np.zeros(0, np.int64)
+        lists = lists[np.argsort(self.length[lists], kind="stable")]
+        longest = int(self.length[lists[-1]])
+        aside = min(int(least / (1 + 0.1 * np.log2(longest + 1))), least - 1) if longest > 1 else 0
+        short, long_ = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        runs, begin = self.length[short], self.start[short]
         ends = np.cumsum(runs)
-        merged = sorted_owner[np.arange(int(runs.sum())) + np.repeat(start[short] - (ends - runs), runs)]
-        count = np.bincount(merged, minlength=len(sets))
-        count[: q + 1] = 0
-        alive = np.flatnonzero(count >= max(1, int(least) - aside))
-        fit = (100 * np.minimum(size[alive], size[q]) >= percent * np.maximum(size[alive], size[q]))
-        alive = alive[fit]
-        total = count[alive]
+        merged = np.sort(self.member[np.arange(int(ends[-1])) + np.repeat(begin - (ends - runs), runs)], kind="stable")
+        first = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
+        alive, total = merged[first], np.diff(np.append(first, len(merged)))
+        fit = (total >= least - aside) & wanted[alive] & (100 * np.minimum(size[alive], n) >= percent * np.maximum(size[alive], n))
+        alive, total = alive[fit], total[fit]
+        need = -(-percent * (size[alive] + n) // (100 + percent))
         for i, x in enumerate(long_):
+            can = total + len(long_) - i >= need
+            if not can.all():
+                alive, total, need = alive[can], total[can], need[can]
             if not len(alive):
                 break
-            members = sorted_owner[start[x] : start[x] + length[x]]
+            members = self.member[self.start[x] : self.start[x] + self.length[x]]
             at = np.minimum(np.searchsorted(members, alive), len(members) - 1)
             total = total + (members[at] == alive)
-            if i % 32 == 31:  # drop who cannot reach the overlap any more
-                need = -(-percent * (size[alive] + size[q]) // (100 + percent))
-                can = total + (len(long_) - i - 1) >= need
-                alive, total = alive[can], total[can]
-        hit = 100 * total >= percent * (size[alive] + size[q] - total)
-        left.append(np.full(int(hit.sum()), q))
-        right.append(alive[hit])
+        return alive[total >= need]
+
+
+def t_occurrence(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None, visits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked pairs that connect what links connect among some sets of sorted hashes.
+
+    known: components of the sets so far; links within one are not looked for. visits: marks sets whose links with
+    unmarked ones are wanted, and no others; without it links among all are.
+    """
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    label = np.unique(known, return_inverse=True)[1] if known is not None else np.arange(n)
+    here = np.flatnonzero(~visits) if visits is not None else np.arange(n)
+    asks = np.flatnonzero(visits) if visits is not None else here
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if not len(here) or not len(asks):
+        return left[0], right[0]
+
+    def found(a: int, b: np.ndarray) -> None:
+        nonlocal label
+        b = b[label[b] != label[a]]
+        if len(b):
+            b = b[np.unique(label[b], return_index=True)[1]]
+            left.append(np.full(len(b), a))
+            right.append(b)
+            label = np.where(np.isin(label, label[b]), label[a], label)
+
+    item, owner = np.concatenate([sets[i] for i in asks]), np.repeat(asks, size[asks])
+    open_ = np.ones(n, bool)
+    for _ in range(PIVOTS):
+        of = here[open_[here]]
+        if not len(of) or (label[asks] == label[asks[0]]).all() and (label[here] == label[asks[0]]).all():
+            break
+        kinds, times = np.unique(label[of], return_counts=True)
+        of = of[label[of] == kinds[times.argmax()]]
+        p = int(of[np.argsort(size[of], kind="stable")[len(of) // 2]])
+        at = np.minimum(np.searchsorted(sets[p], item), size[p] - 1)
+        both = np.bincount(owner[sets[p][at] == item], minlength=n)
+        near = 100 * both >= percent * (size + size[p] - both)
+        near &= both > 0
+        found(p, np.flatnonzero(near))
+        open_[label == label[p]] = False
+    if visits is None:
+        kinds, times = np.unique(label, return_counts=True)
+        asks = np.flatnonzero(label != kinds[times.argmax()])
+        if not len(asks):
+            return np.concatenate(left), np.concatenate(right)
+    index = Index([sets[i] for i in here], here)
+    for q in asks.tolist():
+        wanted = label != label[q]
+        if wanted[here].any():
+            found(q, index.search(sets[q], size, percent, wanted))
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -262,71 +317,115 @@ def filter_bits(nodes: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, bits: np.ndarray, k: int) -> DataFrame:
-    """nodes with ``items``, the set of the document that stands for each."""
+    """print and items of each node, the set of the document that stands for it."""
     size = 8 * len(bits)
 
     def run(batches):
+        sent: set[int] = set()
         for batch in batches:
             slot = batch.column("slot").to_numpy()
             batch = batch.filter(pa.array(((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)))
             for chunk in chunks([batch]):
                 s = Sets(chunk, k)
-                blobs = [s.hash[a:b].tobytes() for a, b in zip(s.first[:-1].tolist(), s.first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([id_array(chunk.ids), pa.array(s.print_), pa.array(blobs, pa.binary())], ["id", "mine", "items"])
+                prints = s.print_.tolist()
+                new = [i for i, p in enumerate(prints) if (p, int(chunk.ids[i])) not in sent and not sent.add((p, int(chunk.ids[i])))]
+                blobs = [s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in new]
+                yield pa.RecordBatch.from_arrays([id_array(chunk.ids[new]), pa.array(s.print_[new]), pa.array(blobs, pa.binary())], ["id", "mine", "items"])
+                if len(sent) > 1_000_000:  # repeated rows are sent once for each so many; the join's reader takes one
+                    sent.clear()
 
     made = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("slot")).mapInArrow(run, "id long, mine long, items binary")
-    return made.join(nodes, (F.col("mine") == F.col("print")) & F.col("id").eqNullSafe(F.col("first_id"))).select(*nodes.columns, "items")
+    kept = made.join(nodes.select("print", "first_id"), (F.col("mine") == F.col("print")) & F.col("id").eqNullSafe(F.col("first_id"))).select("print", "items")
+    return kept.dropDuplicates(["print"])
 
 
 def links(tasks: DataFrame, percent: int) -> DataFrame:
-    """Spanning forest of the links within each task (root, i, j) of (print, items)."""
+    """Spanning forest of the links found in each task (block, batch) of (print, comp, visits, items)."""
 
     def search(key, table):
         prints, first = np.unique(table.column("print").to_numpy(), return_index=True)
         raw = table.column("items")
-        a, b = t_occurrence([np.frombuffer(raw[int(i)].as_py(), "<u8") for i in first], percent)
+        sets = [np.frombuffer(raw[int(i)].as_py(), "<u8") for i in first]
+        comp, visits = table.column("comp").to_numpy()[first], table.column("visits").to_numpy()[first]
+        a, b = t_occurrence(sets, percent, comp, visits if visits.any() else None)
         a, b = forest(prints[a], prints[b])
         return pa.table({"a": a, "b": b})
 
-    return tasks.groupBy("root", "i", "j").applyInArrow(search, "a long, b long")
+    return tasks.groupBy("block", "batch").applyInArrow(search, "a long, b long")
+
+
+def together(n: str, percent: int) -> str:
+    """SQL: in how many lists a class of n shingles meets any partner, at least."""
+    return f"1 + ((({percent} * {n} + 99) div 100) div 20)"
+
+
+def visits(lists: DataFrame, comps: DataFrame | None, percent: int, all_: bool) -> DataFrame:
+    """(print, n, block) of classes and the blocks they must visit: the largest they meet, or all larger than their own.
+
+    lists: (h, print, n, block, wide), wide the number of a block's members. Only lists with two components count.
+    """
+    if comps is not None:
+        lists = lists.join(comps.withColumnRenamed("node", "print"), "print", "left").withColumn("comp", F.coalesce("root", "print")).drop("root")
+    else:
+        lists = lists.withColumn("comp", F.col("print"))
+    met = lists.groupBy("h", "block").agg(F.first("wide").alias("wide"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    top = F.max(F.struct("wide", "block", "c0", "c1", "n0", "n1")).alias("top")
+    open_ = met.groupBy("h").agg(F.min("c0").alias("a"), F.max("c1").alias("b"), top).where("a <> b").select("h", "top")
+    if all_:
+        mine = lists.join(open_.select("h"), "h", "left_semi")
+        often = mine.groupBy("print").agg(F.count("*").alias("times"), F.first("n").alias("n")).where(f"times >= {together('n', percent)}").select("print")
+        to = met.join(open_.select("h"), "h", "left_semi").select("h", F.struct("wide", "block", "c0", "c1", "n0", "n1").alias("top"))
+        both = mine.join(often, "print", "left_semi").join(to, "h")
+    else:
+        both = lists.join(open_, "h")
+    beyond = F.struct("top.wide", "top.block") > F.struct("wide", "block")
+    fits = (F.lit(100) * F.col("top.n1") >= F.lit(percent) * F.col("n")) & (F.lit(100) * F.col("n") >= F.lit(percent) * F.col("top.n0"))
+    other = (F.col("top.c0") != F.col("comp")) | (F.col("top.c1") != F.col("comp"))
+    asked = both.where(beyond & fits & other).groupBy("print", F.col("top.block").alias("to")).agg(F.count("*").alias("times"), F.first("n").alias("n"))
+    return asked.where(f"times >= {together('n', percent)}").select("print", "n", F.col("to").alias("block"))
+
+
+def visited(members: DataFrame, asked: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Tasks of visits: the visitors in batches, and with each batch all who live in the block."""
+    batches = asked.groupBy("block").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("batches"))
+    coming = asked.join(batches, "block").select("print", "block", F.pmod(F.xxhash64("print"), F.col("batches")).cast("int").alias("batch"))
+    visitors = coming.join(members.select("print", "items"), "print").select("block", "batch", "print", F.lit(True).alias("visits"), "items")
+    living = members.join(batches, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "print", F.lit(False).alias("visits"), "items")
+    return labelled(visitors.unionByName(living), comps)
+
+
+def labelled(tasks: DataFrame, comps: DataFrame | None) -> DataFrame:
+    if comps is None:
+        return tasks.withColumn("comp", F.col("print"))
+    return tasks.join(comps.withColumnRenamed("node", "print"), "print", "left").withColumn("comp", F.coalesce("root", "print")).drop("root")
 
 
 def linked(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, print (of the set), root (print that stands for the component) and component_id of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = cut(facts(docs, k), "sets")
-    each = known.where("piece is null")
-    rows = each.select("doc_id", "n", "print")
-    classes = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
-    described = each.where("n > 0").groupBy("print").agg(F.min("n").alias("n"), F.first("parity").alias("parity"))
-    candidate = components(possible(chains(docs, count_table(known), k, percent), described, percent))
-
-    # the set of one document of each candidate class, known by its print among the rows of that id
-    wanted = candidate.join(classes, candidate.node == classes["print"]).select("print", "root", "first_id")
-    sized = wanted.join(wanted.groupBy("root").agg(F.count("*").alias("members")), "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    nodes = cut(sized.withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")), "nodes")
-
-    bits = filter_bits(nodes)
-    sets = sets_of(docs, nodes, bits, k)
-    others = F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1)))
-    spread = F.explode(F.when(F.col("block") == 0, others).otherwise(F.array("block")))
-    found = cut(links(sets.select("root", spread.alias("i"), F.lit(0).alias("j"), "print", "items"), percent), "links")
-
-    large = nodes.where("blocks > 1")
-    if not large.isEmpty():
-        so_far = components(found).select(F.col("node").alias("print"), F.col("root").alias("part"))
-        parted = large.join(so_far, "print", "left").withColumn("part", F.coalesce("part", "print"))
-        parts = parted.groupBy("root", "part").agg(F.count("*").alias("size"))
-        main = parts.groupBy("root").agg(F.max(F.struct("size", "part")).alias("m"), F.sum("size").alias("all")).select("root", F.col("m.part").alias("main"), F.ceil((F.col("all") - F.col("m.size")) / BLOCK).cast("int").alias("rest"))
-        late = cut(parted.join(main, "root").where("rest > 0"), "late")
-        if not late.isEmpty():
-            sets = sets_of(docs, late, bits, k)
-            all_blocks, every = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("rest") - 1)
-            mine = F.pmod(F.xxhash64("print"), F.col("rest")).cast("int")
-            outside = F.when(F.col("part") != F.col("main"), F.transform(all_blocks, lambda j: F.struct(mine.alias("i"), j.alias("j")))).otherwise(F.array())
-            against = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
-            tasks = sets.select("root", F.explode(F.array_distinct(F.concat(outside, against))).alias("t"), "print", "items").select("root", "t.i", "t.j", "print", "items")
-            found = found.unionByName(cut(links(tasks, percent), "links"))
+    rows = known.where("piece is null").select("doc_id", "n", "print", "home")
+    ranges = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // FED))
+    classes = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.min("home").alias("home"))
+
+    lists = cut(postings(docs, count_table(known), ranges, k, percent), "lists")
+    live = lists.groupBy("print").agg(F.count("*").alias("times"), F.first("n").alias("n")).where(f"times >= {together('n', percent)}").select("print")
+    nodes = classes.join(live, "print", "left_semi")
+    splits = nodes.groupBy("home").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("splits"))
+    nodes = nodes.join(splits, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("print"), F.col("splits")))).select("print", "first_id", "n", "block")
+    nodes = cut(nodes, "nodes")
+    wide = nodes.groupBy("block").agg(F.count("*").alias("wide"))
+
+    members = cut(sets_of(docs, nodes, filter_bits(nodes), k).join(nodes.select("print", "block"), "print"), "members")
+    alone = labelled(members.join(wide.where("wide > 1"), "block", "left_semi").select("block", F.lit(0).alias("batch"), "print", F.lit(False).alias("visits"), "items"), None)
+    found = cut(links(alone, percent), "links")
+
+    lists = cut(lists.join(nodes.select("print", "block"), "print").join(wide, "block").select("h", "print", "n", "block", "wide"), "lists")
+    for all_ in (False, True):
+        comps = components(found)
+        asked = cut(visits(lists, comps, percent, all_), "visits")
+        if not asked.isEmpty():
+            found = found.unionByName(cut(links(visited(members, asked, comps), percent), "links"))
 
     final = components(found)
     in_class = classes.join(final, classes["print"] == final.node, "left").select("print", F.coalesce("root", "print").alias("root"), "first_id")

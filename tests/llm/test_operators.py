@@ -165,7 +165,7 @@ def shingles(text):
 
 
 def test_jaccard_join(docs, empty, rows, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)  # components of many blocks, too
+    monkeypatch.setattr(jaccard_join, "HELD", 400)  # groups of many blocks, too
     sets = [(i, shingles(t)) for i, t, *_ in rows]
     parent = list(range(len(sets)))
 
@@ -235,8 +235,45 @@ def test_t_occurrence_finds_every_pair():
         s[rng.integers(0, 200, int(rng.integers(0, 40)))] = rng.integers(0, 1 << 60)
         sets.append(np.unique(s[: int(rng.integers(150, 200))]))
     want = {(a, b) for a in range(90) for b in range(a + 1, 90) if 100 * len(i := np.intersect1d(sets[a], sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - len(i))}
-    a, b = jaccard_join.t_occurrence(sets)
-    assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+    index, size = jaccard_join.Index(sets, np.arange(90)), np.array([len(s) for s in sets])
+    got = {(a, int(b)) for a in range(90) for b in index.search(sets[a], size, 85, np.arange(90) > a)}
+    assert got == want
+
+    def parts(edges):
+        label = jaccard_join.labels(90, *(np.array([e[i] for e in edges], int) for i in (0, 1)))
+        return label.tolist()
+
+    a, b = jaccard_join.t_occurrence(sets, 85)
+    assert set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) <= want and len(a) < 90
+    assert parts(list(zip(a.tolist(), b.tolist()))) == parts(list(want))
+    guests = np.arange(90) % 3 == 0
+    a, b = jaccard_join.t_occurrence(sets, 85, visits=guests)
+    across = {(x, y) for x, y in want if guests[x] != guests[y]}
+    assert parts(list(zip(a.tolist(), b.tolist()))) == parts(list(across))
+    known = np.array(parts(list(want)))
+    assert not len(jaccard_join.t_occurrence(sets, 85, known)[0])
+
+
+@pytest.mark.parametrize("hot", [3, 1 << 22])
+def test_jaccard_group_of_many_near_copies(spark, monkeypatch, hot):
+    """Edits scatter a large group over blocks, strays and chains hang on to it: components equal brute force."""
+    monkeypatch.setattr(jaccard_join, "HELD", 3000)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(150):
+        t, rate = list(base), rng.choice((0.005, 0.02, 0.04))
+        texts.append([f"x{rng.randrange(10**6)}" if rng.random() < rate else w for w in t])
+    chain = list(base)
+    for i in range(25):
+        chain = chain[4:] + [f"c{rng.randrange(10**6)}" for _ in range(4)]
+        texts.append(chain)
+    rows = list(enumerate(" ".join(t) for t in texts))
+    sets = [shingles(t) for _, t in rows]
+    name = jaccard_join.labels(len(sets), *np.array([(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]).T)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == dict(enumerate(name.tolist())) and len(set(name.tolist())) < 120
 
 
 def test_topk(spark):
