@@ -1,9 +1,12 @@
 """Corpus-wide questions about hashes, asked in bulk.
 
-Documents are dealt into parts by a hash of doc_id. Each part sends every bucket of the hash space one row: its
+Documents are dealt into parts by a hash of doc_id and text, so rows without an id or with one id do not gather. Each
+part sends each bucket of the hash space one row: its
 distinct hashes there, sorted, as bytes. The bucket answers with one bit for each of them. However often a hash
 occurs, a part sends it once, so a hot passage or a large group of copies makes no task larger than the others,
-and an answer costs a bit. The dealt documents are one exchange that every pass reuses.
+and an answer costs a bit. How many parts and buckets there are follows from the bytes of text, never from a setting;
+a part only writes to buckets that it has hashes for, so there are never more messages than hashes. The dealt documents
+are one exchange that every pass reuses, and so are the answers.
 """
 
 from __future__ import annotations
@@ -18,12 +21,20 @@ from pyspark.sql import functions as F
 from ._store import width
 
 PART, BUCKET = "__part", "__bucket"
+#: Text of a part, and text whose hashes meet in a bucket.
+PART_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
 
 
-def deal(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents with their part; twice as many parts as shuffle partitions, so each is small and tasks are even."""
-    n = 2 * width(docs.sparkSession)
-    return docs.withColumn(PART, F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int"))
+def deal(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
+    """Documents with their part, and the number of buckets."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = -(-size // PART_BYTES) or 1
+    return docs.withColumn(PART, F.pmod(F.xxhash64("doc_id", text_col), F.lit(n)).cast("int")), -(-size // BUCKET_BYTES) or 1
+
+
+def once(replies: DataFrame) -> DataFrame:
+    """Answers dealt to their parts: an exchange that all who need them reuse, so that buckets answer once."""
+    return replies.repartition(width(replies.sparkSession), PART)
 
 
 def edges(n: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, release
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,11 +23,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         hop = cut(hop.join(second, "to").select("a", F.col("then").alias("to")), "hop")
         if labels is None:
             labels = hop.select(F.col("a").alias("node"), F.col("to").alias("root"))
+            labels._cut_path = hop._cut_path
         else:
+            before = labels
             labels = cut(labels.join(hop.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+            release(before)
         left = edges.join(hop, "a").select(F.col("to").alias("x"), F.col("b").alias("a"))
         joined = left.join(hop, "a").select(F.least("x", "to").alias("a"), F.greatest("x", "to").alias("b"))
-        edges = cut(joined.where("a <> b").distinct(), "edges")
+        last, edges = edges, cut(joined.where("a <> b").distinct(), "edges")
+        release(last)
+        if hop._cut_path != labels._cut_path:
+            release(hop)
         if edges.isEmpty():
+            release(edges)
             return labels
     raise RuntimeError("components did not settle")

@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _ask
-from ._store import width
 from ._text import NO_ID, Prefix, chunks, covered
 
 OUT = ("n_words", "n_removed", "kept_text")
@@ -77,9 +76,9 @@ def repeats(docs: DataFrame, window: int = 50, joined: bool = True) -> DataFrame
     joined: the kept words parted by single spaces; else the text as it was, but for the removed words and the
     white space after them.
     """
-    block, n = window // 2, width(docs.sparkSession)
+    block = window // 2
     docs = docs.drop(*OUT, _ask.PART)
-    dealt = _ask.deal(docs)
+    dealt, n = _ask.deal(docs)
     slim = dealt.select("doc_id", "text", _ask.PART) if set(docs.columns) != {"doc_id", "text"} else dealt
 
     def probe(part: int, table: pa.Table) -> pa.Table:
@@ -113,7 +112,7 @@ def repeats(docs: DataFrame, window: int = 50, joined: bool = True) -> DataFrame
         return pa.Table.from_batches([_ask.reply(bucket, parts, sizes, later(got["__hash"], got["ids"]))])
 
     probes = _ask.per_part(slim, probe, f"{_ask.BUCKET} int, {_ask.PART} int, __hash binary, shared binary, blocks binary")
-    near = _ask.per_bucket(probes, shared_blocks)
+    near = _ask.once(_ask.per_bucket(probes, shared_blocks))
     sent = _ask.with_replies(slim, near, extend, f"{_ask.BUCKET} int, {_ask.PART} int, __hash binary, ids binary")
     lost = _ask.per_bucket(sent, beaten)
     names = docs.columns

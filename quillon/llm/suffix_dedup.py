@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _ask
-from ._store import width
 from ._text import BYTE_CODE, U64, Chunk, Prefix, binary, chunks, id_array, ints, mix, powers, ragged
 
 GRAM = 30
@@ -123,7 +122,7 @@ def phrases(chunk: Chunk, window: int, gram: int) -> tuple[np.ndarray, ...]:
         return none, none, none.astype(np.uint64), none.astype(np.uint64), none
     prefix = Prefix(BYTE_CODE[chunk.data])
     wide = (prefix.sums[gram:] - prefix.sums[:-gram]) * prefix.down[: n + 1 - gram] * _C
-    h = (wide >> U64(32)).astype(np.uint32) | np.uint32(1)
+    h = wide | U64(1)
     least = _slide(h, window - gram + 1)
     length = np.diff(chunk.offsets)
     cut = np.minimum(length, window - 1)
@@ -231,8 +230,7 @@ def _ids(table: pa.Table, sizes: np.ndarray) -> np.ndarray:
 
 def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept, the bytes left of each document."""
-    n = width(docs.sparkSession)
-    dealt = _ask.deal(docs.select("doc_id", "text"))
+    dealt, n = _ask.deal(docs.select("doc_id", "text"))
 
     def ask_anchors(part: int, table: pa.Table) -> pa.Table:
         h, shared, _ = _Shard(table, window, gram).anchors()
@@ -318,8 +316,8 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFra
 
     blobs = f"{_ask.BUCKET} int, {_ask.PART} int, __hash binary"
     kinded = f"{_ask.REPLY}, kind int"
-    first = _ask.per_bucket(_ask.per_part(dealt, ask_anchors, f"{blobs}, shared binary"), shared_anchors)
-    second = _ask.per_bucket(_ask.with_replies(dealt, first, ask_phrases, f"{blobs}, phrase binary, ids binary"), judge_phrases, kinded)
+    first = _ask.once(_ask.per_bucket(_ask.per_part(dealt, ask_anchors, f"{blobs}, shared binary"), shared_anchors))
+    second = _ask.once(_ask.per_bucket(_ask.with_replies(dealt, first, ask_phrases, f"{blobs}, phrase binary, ids binary"), judge_phrases, kinded))
     known = first.withColumn("kind", F.lit(0)).unionByName(second)
     third = _ask.per_bucket(_ask.with_replies(dealt, known, ask_windows, f"{blobs}, ids binary"), merge_windows, kinded)
     return _ask.with_replies(dealt, known.unionByName(third), remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
