@@ -36,7 +36,7 @@ from ._text import U64, Chunk, chunks, id_array
 FREQUENT, HASHED, CLASS = 768, 256, 32
 SIZE = FREQUENT + HASHED
 REACH = (-2, -1, 1, 2)
-HIDDEN = 32
+HIDDEN = 16
 
 
 def sizes(distinct: int) -> tuple[int, int]:
@@ -70,6 +70,11 @@ class Vocabulary:
         return out
 
 
+def _order(ids: np.ndarray, size: int) -> np.ndarray:
+    """Positions by id, equal ones as they stand; small ids are sorted by digits."""
+    return np.argsort(ids.astype(np.uint16) if size < 1 << 16 else ids, kind="stable")
+
+
 class Network:
     """Parameters as one flat float32 array."""
 
@@ -95,23 +100,27 @@ class Network:
         """Log-probabilities, and what a step of training needs."""
         v = self.view
         h = self.hidden(context)
-        order = np.argsort(word, kind="stable")
+        order = _order(word, self.classes * CLASS)
         cls = word // CLASS
-        bounds = np.searchsorted(word[order], np.arange(self.classes + 1) * CLASS)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=self.classes))])
         rows = np.arange(len(word))
-        c = h @ v["to_class"] + v["class_bias"]
-        c -= c.max(1, keepdims=True)
-        pc = np.exp(c)
-        pc /= pc.sum(1, keepdims=True)
+        ones = np.ones((max(self.classes, CLASS), 1), np.float32)
+
+        def normed(x: np.ndarray) -> np.ndarray:
+            np.minimum(x, 60, out=x)  # far from what such weights reach; exp stays finite
+            np.exp(x, out=x)
+            x *= 1 / (x @ ones[: x.shape[1]] + 1e-30)
+            return x
+
+        pc = normed(h @ v["to_class"] + v["class_bias"])
         sorted_h = h[order]
         pw = np.empty((len(word), CLASS), np.float32)
         for k in range(self.classes):
             a, b = bounds[k], bounds[k + 1]
             if a < b:
-                pw[a:b] = sorted_h[a:b] @ v["to_word"][k] + v["word_bias"][k]
-        pw -= pw.max(1, keepdims=True)
-        np.exp(pw, out=pw)
-        pw /= pw.sum(1, keepdims=True)
+                np.matmul(sorted_h[a:b], v["to_word"][k], out=pw[a:b])
+                pw[a:b] += v["word_bias"][k]
+        pw = normed(pw)
         inner = np.empty(len(word), np.float32)
         inner[order] = pw[rows, word[order] % CLASS]
         return np.log(pc[rows, cls] + 1e-30) + np.log(inner + 1e-30), (h, pc, pw, order, bounds, cls)
@@ -138,7 +147,7 @@ class Network:
         v["bias"] -= rate / n * gh.sum(0)
         gh *= -rate / n
         for i in range(len(REACH)):
-            at = np.argsort(context[:, i], kind="stable")
+            at = _order(context[:, i], self.classes * CLASS + 1)
             token = context[at, i]
             first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             v["embed"][i][token[first]] += np.add.reduceat(gh[at], first)
@@ -204,7 +213,7 @@ def turns(place: np.ndarray, turn: int, rounds: int, mask: int) -> list[np.ndarr
     return [np.flatnonzero(place % mask == residue) for residue in range(turn % mask, mask, rounds)]
 
 
-def train(docs: DataFrame, rounds: int = 2, mask: int = 8, rate: float = 1.0, batch_size: int = 512) -> tuple[Vocabulary, Network]:
+def train(docs: DataFrame, rounds: int = 2, mask: int = 8, rate: float = 1.0, batch_size: int = 4096) -> tuple[Vocabulary, Network]:
     """A vocabulary and a network from all words of all documents; one word in ``mask`` is predicted at a time."""
     vocabulary = vocabulary_of(docs)
     network, known = Network(size=vocabulary.size), vocabulary.alone()
