@@ -4,8 +4,9 @@ The model file holds merge ranks, so a path is allowed only where every two neig
 side by side after merging: undoing their merges from the last, no pair across the border may have been due
 earlier. Per position one allowed path survives for each piece that ends there and fits what lies before it; only
 a window of the longest piece is kept, and ids are committed as soon as all backpointers from the window run through
-one boundary. Units that no piece can cross (a space begins a new one, a line break stands alone) always converge, so
-they are searched once each and remembered. Ids equal the library's for the same file.
+one boundary. At the ends of units, which no piece can cross (a space begins a new one, a line break stands alone), all
+paths converge and the window starts afresh; the ids that the search committed for a unit are remembered behind it.
+Ids equal the library's for the same file.
 
 Edge cases: null and empty texts have no ids and decode to an empty text; characters without a piece become byte
 pieces; the sign for a space in a text counts as a space, as in the library; a null doc_id is kept; repeated rows are
@@ -105,17 +106,23 @@ class Codec:
         self.pairs += 1
         return out
 
-    def _extend(self, unit: str, back: list) -> None:
-        """Runs the search on over the rest of a unit; back[p] is the surviving piece that ends at p."""
-        rank, ends, fits = self.rank, self.ends, self.fits
-        for end in range(len(back), len(unit) + 1):
+    def _stream(self, unit: str, base: int, back: list, done: list) -> tuple[int, list]:
+        """Runs the search on to the end of a unit; returns the boundary up to which pieces are in ``done``, and the window.
+
+        back[p - base] is the surviving piece that ends at p. Whenever the window has grown to four times the longest
+        piece, the paths that later pieces can still start from are stepped back until they meet; what lies before
+        that boundary is committed and leaves the window.
+        """
+        rank, ends, fits, longest = self.rank, self.ends, self.fits, self.longest
+        for end in range(base + len(back), len(unit) + 1):
             for size in ends.get(unit[end - 1], (1,)):
-                if size > end:
+                begin = end - size
+                if begin < base:
                     continue
-                piece = unit[end - size : end]
+                piece = unit[begin:end]
                 if size > 1 and piece not in rank:
                     continue
-                before = back[end - size]
+                before = back[begin - base]
                 if before:
                     known = fits.get(before)
                     ok = known.get(piece) if known is not None else None
@@ -125,53 +132,37 @@ class Codec:
                         continue
                 back.append(piece)
                 break
+            if (end - base) % (4 * longest) == 0:
+                alive = set(range(end - longest + 1, end + 1))
+                while len(alive) > 1:  # the farthest first
+                    p = max(alive)
+                    alive = (alive - {p}) | {p - len(back[p - base])}
+                meet = alive.pop()
+                if meet > base:
+                    done += self._path(back, base, meet)
+                    base, back = meet, back[meet - base :]  # the piece at the boundary still decides what may follow
+        return base, back
 
     def learn(self, units) -> None:
-        """Ids of new units. In their order neighbours share beginnings, over which the search is not run again."""
-        last, back = "", [""]
+        """Ids of new units, each a stream of its own since no piece crosses its ends. Neighbours in order share beginnings, over which the search is not run again."""
+        last, base, back, done = "", 0, [""], []
         for unit in sorted(units):
-            if len(unit) > 4 * self.longest:
-                self.unit[unit] = self._ids(p for run in self._search(unit) for p in run)
-                continue
             same, most = 0, min(len(unit), len(last))
             while same < most and unit[same] == last[same]:
                 same += 1
-            del back[same + 1 :]
-            self._extend(unit, back)
+            if same < base:
+                base, back, done = 0, [""], []
+            del back[same - base + 1 :]
+            base, back = self._stream(unit, base, back, done)
             last = unit
-            self.unit[unit] = self._ids(self._path(back, len(unit), 0))
-
-    def _search(self, unit: str):
-        """Pieces of a unit, in runs, as the search commits them."""
-        rank, longest, done = self.rank, self.longest, 0
-        back = {0: ""}  # the surviving piece that ends at a position
-        for end in range(1, len(unit) + 1):
-            for begin in range(max(done, end - longest), end):
-                piece = unit[begin:end]
-                if begin in back and (piece in rank or end - begin == 1):
-                    before = back[begin]
-                    if not before or self.fit(before, piece):
-                        back[end] = piece
-                        break
-            if end % (4 * longest) == 0 and end < len(unit):
-                alive = {p for p in range(end - longest + 1, end + 1) if p in back}
-                while len(alive) > 1:  # step the paths back, the farthest first, until they meet
-                    p = max(alive)
-                    alive = (alive - {p}) | {p - len(back[p])}
-                meet = alive.pop()
-                if meet > done:
-                    yield self._path(back, meet, done)
-                    # the piece at the boundary still decides what may follow
-                    back = {p: x for p, x in back.items() if p >= meet}
-                    done = meet
-        yield self._path(back, len(unit), done)
+            self.unit[unit] = self._ids([*done, *self._path(back, base, len(unit))])
 
     @staticmethod
-    def _path(back, end: int, begin: int) -> list[str]:
+    def _path(back, base: int, end: int) -> list[str]:
         out = []
-        while end > begin:
-            out.append(back[end])
-            end -= len(back[end])
+        while end > base:
+            out.append(back[end - base])
+            end -= len(out[-1])
         return out[::-1]
 
     def _ids(self, pieces) -> bytes:
