@@ -3,23 +3,28 @@
 Vectors are quantised to integers and dealt into blocks. A block's index is a list of posting segments: all
 components whose size lies in one power-of-two band, largest band first. A batch of queries takes the segments in
 that order and adds up partial scores. What the remaining bands can still add is bounded by the largest component
-left in each dimension; once the bounds prove that only few rows can reach the k-th score, those are rescored
-exactly and the rest of the block is left unread. Where no proof comes, all segments are read, which is exact too.
+left in each dimension and by the length that each row has left; once the bounds prove for a query that only few rows can
+reach the k-th score, those are rescored exactly and the query reads no further. Where no proof comes, all segments are
+read, which is exact too.
 Blocks' winners meet in one window per query, k rows from each block.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count
 as padded with zeros; rows with a null id take no part; rows with the query's own id are no candidates; repeated
 candidate rows count each, repeated query ids once; ties go to the smaller id; an empty table gives an empty result.
+A vector with a finite component so large that its scores could leave 64 bits (2**31 over the root of the number of
+dimensions, after scaling) takes no part either.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, BATCH, GROUP = 16_384, 256, 16
+BLOCK, BATCH, GROUP = 16_384, 256, 256
 
 
 def quantised(batch: pa.RecordBatch, dim: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +41,9 @@ def quantised(batch: pa.RecordBatch, dim: int, scale: float) -> tuple[np.ndarray
     at = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
     full[row, at] = values
     good = np.isfinite(full).all(1) & (size > 0)
-    return ids[good], np.floor(full[good] * scale).astype(np.int64)
+    whole, most = np.floor(full[good] * scale), math.isqrt((1 << 62) // max(dim, 1))
+    fits = (np.abs(whole) <= most).all(1)
+    return ids[good][fits], whole[fits].astype(np.int64)
 
 
 class Block:
@@ -47,12 +54,12 @@ class Block:
         self.ids, self.vectors = ids[order], vectors[order]
         size = np.abs(self.vectors)
         band = np.where(size > 0, np.frexp(size.astype(np.float64))[1], 0)
-        self.segments = []
+        self.segments, self.stopped = [], 0
         for b in range(int(band.max(initial=0)), 0, -1):
             row, dim = np.nonzero(band == b)
             if len(row):
-                rest = np.where(band < b, size, 0).max(0)
-                self.segments.append((row, dim, self.vectors[row, dim], rest))
+                below = np.where(band < b, size, 0)
+                self.segments.append((row, dim, self.vectors[row, dim], below.max(0), np.sqrt((below.astype(np.float64) ** 2).sum(1)) + 1e-9))
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query positions, row positions and scores: the k best rows of each query, ties to smaller ids."""
@@ -63,23 +70,27 @@ class Block:
         largest = float(np.abs(queries).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * queries.shape[1]
         kind = np.float32 if largest < 1 << 22 else np.float64
         q = queries.astype(kind)
-        partial = np.zeros((len(q), n), kind)
+        norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+        kth, slack = min(k, n) - 1, 0.0 if kind is np.float32 else largest * 1e-12  # of the rounding of partial sums
         own = self.ids[None, :] == ids[:, None]
-        possible, kth = None, min(k, n) - 1
-        for i, (row, dim, value, rest) in enumerate(self.segments):
+        possible = ~own
+        going, partial = np.arange(len(q)), np.zeros((len(q), n), kind)
+        for i, (row, dim, value, rest, beyond) in enumerate(self.segments):
             part = np.zeros((n, q.shape[1]), kind)
             part[row, dim] = value
-            partial += q @ part.T
-            left = np.abs(q) @ rest.astype(kind)
-            if i + 1 < len(self.segments) and left.mean() > 0.25 * np.abs(partial).max():
-                continue  # no proof in sight
-            low = np.where(own, -np.inf, partial)
-            bar = -np.partition(-low, kth, 1)[:, kth] - left
-            possible = low + left[:, None] >= bar[:, None]
-            if possible.sum() <= 8 * k * len(q):
-                break
-        if possible is None:
-            possible = ~own
+            partial += q[going] @ part.T
+            # what the segments left can add or take: by the largest component of each dimension, and by each row's length
+            left = np.minimum((np.abs(q[going]) @ rest.astype(kind))[:, None], norm[going, None] * beyond[None, :]) + slack
+            low = np.where(own[going], -np.inf, partial - left)
+            bar = -np.partition(-low, kth, 1)[:, kth]
+            may = (partial + left >= bar[:, None]) & ~own[going]
+            proven = (may.sum(1) <= 8 * k) | (i + 1 == len(self.segments))
+            self.stopped += int(proven.sum()) * (i + 1 < len(self.segments))
+            if proven.any():  # these queries stop here; the others read on
+                possible[going[proven]] = may[proven]
+                going, partial = going[~proven], partial[~proven]
+                if not len(going):
+                    break
         at, row = np.nonzero(possible & ~own)
         score = np.concatenate([np.einsum("ij,ij->i", queries[at[j : j + 65536]], self.vectors[row[j : j + 65536]]) for j in range(0, len(at), 65536)] or [none])
         order = np.lexsort((row, -score, at))
