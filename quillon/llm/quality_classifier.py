@@ -134,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
                 at += len(chunk)
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<double>")
-    got = sorted(rows.collect(), key=lambda r: (r.doc_id, r.label, r.x))  # bounded by sample, each document once
+    once = rows.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("m")).select("doc_id", "m.label", "m.x")  # of rows that repeat an id, one
+    got = sorted(once.collect(), key=lambda r: r.doc_id)  # bounded by sample
     x = np.array([r.x for r in got]).reshape(len(got), len(FEATURES))
     return BoostedTrees().fit(x, np.array([r.label for r in got], float))
 

@@ -32,6 +32,18 @@ BOILERPLATE = (
     b"subscribe to our newsletter",
     b"click here",
     b"lorem ipsum",
+    "alle rechte vorbehalten".encode(),
+    "datenschutzerklärung".encode(),
+    "nutzungsbedingungen".encode(),
+    "hier klicken".encode(),
+    "tous droits réservés".encode(),
+    "politique de confidentialité".encode(),
+    "conditions d'utilisation".encode(),
+    "cliquez ici".encode(),
+    "todos los derechos reservados".encode(),
+    "política de privacidad".encode(),
+    "términos de uso".encode(),
+    "haga clic aquí".encode(),
 )
 STATS = "n_words long, n_lines long, n_failed_lines long, n_failed_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
@@ -88,6 +100,7 @@ def judge(chunk: Chunk, min_words: int, max_repeat: float, max_loss: float) -> t
     stops = _sums(_TERMINAL[data], start, end)
     bangs = data == 33
     bangs[:-1] &= bangs[1:]
+    bangs[offsets[1:][offsets[:-1] < offsets[1:]] - 1] = False  # no pair reaches into the next document
     upper, letters = _sums(_UPPER[data], start, end), _sums(_LETTER[data], start, end)
     failed = (symbols >= 3) & (5 * symbols > n_words)
     failed |= (bars >= 2) & (4 * bars >= n_words)
@@ -99,8 +112,10 @@ def judge(chunk: Chunk, min_words: int, max_repeat: float, max_loss: float) -> t
     for phrase in BOILERPLATE:
         at = lower.find(phrase)
         while at >= 0:
-            failed[np.searchsorted(start, at, "right") - 1] = True
-            at = lower.find(phrase, at + len(phrase))
+            line = np.searchsorted(start, at, "right") - 1
+            if at + len(phrase) <= end[line]:  # not one that begins in a document and ends in the next
+                failed[line] = True
+            at = lower.find(phrase, at + 1)
 
     at, h = words.windows(5)
     key = mix(h ^ (words.doc[at].astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F)))

@@ -301,6 +301,58 @@ def test_topk_stops_early_and_stays_exact():
     for k, q in enumerate(range(0, 500, 25)):
         ranked = sorted((-int(exact[k, j]), j) for j in range(500) if j != q)[:10]
         assert [(-int(s), int(r)) for a, r, s in zip(at, row, score) if a == k] == ranked
+    assert block.stopped >= 10  # most queries end before the last segment
+
+
+def test_topk_of_huge_components_and_ties(spark):
+    rows = [(0, [1e12, 1.0]), (1, [3e5, 2.0]), (2, [3e5, 2.0]), (2, [3e5, 2.0]), (20, [3e5, -1.0]), (40, [1e30, 0.0]), (60, [0.0, 0.0])]
+    got = {(r.query_id, r.vec_id, r["rank"]): r.score for r in topk_search.topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    a = 64 * 300_000
+    assert got[(20, 1, 1)] == a * a - 2 * 64 * 64 and {q for q, *_ in got} == {20, 60}  # those beyond 64 bits take no part
+    assert {k[1]: v for k, v in got.items() if k[0] == 60} == {1: 0, 2: 0, 20: 0} and len([k for k in got if k[0] == 60]) == 4
+
+
+LINES = ("!!! !!! go", "A | B | C", "home > about > us", "WE SHOUT ABOUT ALL THESE THINGS HERE", "Click here now.", "plain words end well.", "eight words stand here without any stop mark", "# # # x", "Alle Rechte vorbehalten.", "", "  ", "twice.", "twice.", "twice.", "twice.", "ends in please click", "here we begin.", "ends with !", "! begins so")
+
+
+def line_fails(line, before):
+    """The line rules, one by one."""
+    raw, w = line.encode(), line.encode().split()
+    n, lower = len(w), re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw)
+    letters, upper = len(re.findall(rb"[A-Za-z]", raw)), len(re.findall(rb"[A-Z]", raw))
+    symbols, bars, stops = (sum(raw.count(bytes([c])) for c in cs) for cs in (b"#*$%&|<>", b"|>", b".!?:;"))
+    pairs = sum(raw[i : i + 2] == b"!!" for i in range(len(raw)))
+    return (
+        symbols >= 3 and 5 * symbols > n or bars >= 2 and 4 * bars >= n or n >= 8 and not stops or n >= 5 and letters >= 20 and 10 * upper > 6 * letters
+        or n >= 3 and 2 * pairs > n or n > 0 and before >= 3 or any(p in lower for p in quality_rules.BOILERPLATE)
+    )
+
+
+def test_quality_line_rules_of_each_document_alone(spark):
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choices(LINES, k=rng.randint(1, 9))) for _ in range(400)] + [None, ""]
+    rows = list(enumerate(texts)) + [(7, texts[7]), (None, texts[8])]
+    want = []
+    for i, t in rows:
+        t, seen, failed, lost = t or "", {}, 0, 0
+        for line in t.split("\n"):
+            n = len(line.encode().split())
+            if line_fails(line, seen.get(line, 0)):
+                failed += n > 0
+                lost += n
+            if n:
+                seen[line] = seen.get(line, 0) + 1
+        want.append((i, failed, lost))
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # neighbours share a batch
+    got = quality_rules.quality_rules(table)
+    assert sorted(((r.doc_id, r.n_failed_lines, r.n_failed_words) for r in got.collect()), key=str) == sorted(want, key=str)
+    alone = quality_rules.quality_rules(table.repartition(40))
+    assert sorted(map(str, got.collect())) == sorted(map(str, alone.collect()))
+    kept = {r.doc_id: r.kept for r in got.collect()}
+    base = {r.doc_id: r.base_failed for r in got.collect()}
+    for (i, failed, lost) in want:
+        assert kept[i] == (not base[i] and 2 * lost <= len((dict(rows)[i] or "").split()))
+    assert quality_rules.clean(table.limit(0)).count() == 0
 
 
 def test_quality_rules(docs, empty, rows, spark):
