@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives; DataFrame and SQL functions only.
 
 Candidates are runs of key-like characters, and shorter and wider runs after words that name a secret, with the word
-and the sign before them. Each
+and the sign before them and the word after them. Each
 gets its length, its character transitions (how likely its letters follow each other in words, how often letters
 and digits change places), how much of it words of a dictionary cover, its path and its neighbouring words. The
 forest is trained on the driver from labelled findings (a bounded set) whose features come from the same
@@ -29,7 +29,8 @@ BEFORE = r"(?<=(?<![^\s\"'=:])([^\s\"'=:]{1,24})(\s{0,4}[=:]\s{0,4}[\"']?|\s{1,4
 AFTER_NAME = rf"(?<=[\s=:\"'])(?=[^\s\"'=:][^\s\"']{{5}})(?<=(?i:{'|'.join(NAMES)})(?:\s{{0,4}}[=:]\s{{0,4}}|\s)[\"']?)(?=[^\s\"'=:])"
 WIDE = r"[^\s\"']{5,}[^\s\"'.,;:)\]}>]"
 RUN = rf"(?<![{KEY}])[{KEY}]{{12,}}"
-PATTERN = rf"(?<![{KEY}])(?=(?:{RUN}|{AFTER_NAME}{WIDE}))(?:{BEFORE})?((?:{RUN}(?![^\s\"'.,;:)\]}}>]))|{AFTER_NAME}{WIDE}|{RUN})"
+NEXT = r"(?=[\"']?[\s,;.)]{0,4}([^\s\"'=:]{1,24})?)"
+PATTERN = rf"(?<![{KEY}])(?=(?:{RUN}|{AFTER_NAME}{WIDE}))(?:{BEFORE})?((?:{RUN}(?![^\s\"'.,;:)\]}}>]))|{AFTER_NAME}{WIDE}|{RUN}){NEXT}"
 DIGESTS = "sha1 sha256 sha512 md5 commit revision checksum digest etag uuid guid hash build version".split()
 EXAMPLES = "test tests example examples sample fixture fixtures mock docs".split()
 DICTIONARY = (
@@ -43,7 +44,7 @@ DICTIONARY = (
     "track type unit update upload user value vector version video view volume widget width window word world"
 ).split()
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
-FEATURES = ("length", "letters_follow", "changes", "case_changes", "digit_share", "upper_share", "hex_only", "distinct_share", "covered", "example_path", "depth", "named", "digest", "assigned", "quoted")
+FEATURES = ("length", "letters_follow", "changes", "case_changes", "digit_share", "upper_share", "hex_only", "distinct_share", "covered", "example_path", "depth", "named", "digest", "assigned", "quoted", "named_after")
 
 
 def transitions() -> list[float]:
@@ -68,7 +69,7 @@ def described(text: Column, path: Column) -> Column:
     """Array of structs with each candidate of a text, and its features."""
     table = "array(" + ",".join(f"{x}D" for x in transitions()) + ")"
     code = f"transform(filter(split(lower(c.cand), ''), z -> z rlike '[a-z0-9]'), z -> instr({_sql(ALPHABET)}, z) - 1)"
-    found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(i)).alias(name) for i, name in ((1, "prev"), (2, "sign"), (3, "cand"))]
+    found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(i)).alias(name) for i, name in ((1, "prev"), (2, "sign"), (3, "cand"), (4, "next"))]
     parts = F.arrays_zip(*found)
     size = "CAST(length(c.cand) AS DOUBLE)"
     words = "|".join(sorted(DICTIONARY, key=len, reverse=True))
@@ -89,10 +90,11 @@ def described(text: Column, path: Column) -> Column:
         "digest": f"CAST(lower(c.prev) IN {_any(DIGESTS)} AS DOUBLE)",
         "assigned": "CAST(c.sign rlike '[=:]' AS DOUBLE)",
         "quoted": "CAST(c.sign rlike '[\"\\']' AS DOUBLE)",
+        "named_after": f"CAST(lower(c.next) rlike '^({'|'.join(NAMES)})\\\\W*$' AS DOUBLE)",
     }
     body = ", ".join(f"'{k}', {v}" for k, v in features.items())
     return F.struct(parts.alias("parts"), F.coalesce(path, F.lit("")).alias("path")), (
-        f"transform(parts, c -> named_struct('cand', c.cand, 'prev', c.prev, 'f', element_at(transform(array({code}), k -> "
+        f"transform(parts, c -> named_struct('cand', c.cand, 'prev', c.prev, 'next', c.next, 'f', element_at(transform(array({code}), k -> "
         f"CASE WHEN size(k) > 1 THEN named_struct({body}) ELSE named_struct({body.replace(features['letters_follow'], '0D')}) END), 1)))"
     ).replace("lower(p)", "lower(path)").replace("split(p,", "split(path,")
 
@@ -130,6 +132,7 @@ def labelled_findings(seed: int = 7, each: int = 220) -> list[tuple[str, str, in
         lambda: pick(NAMES) + sign() + quote(draw("base62", n(8, 16))),
         lambda: pick(NAMES) + sign() + quote(draw(pick(["letters", "capitals"]), n(16, 40))),
         lambda: filler() + " AKIA" + draw("capitals", 16),
+        lambda: filler() + " " + quote(draw("base62", n(20, 44))) + " " + pick(NAMES),
     )
     harmless = (
         lambda: filler() + " " + draw("digits", n(12, 20)),
@@ -145,6 +148,9 @@ def labelled_findings(seed: int = 7, each: int = 220) -> list[tuple[str, str, in
         lambda: filler() + " " + "".join(pick(DICTIONARY).capitalize() for _ in range(3)) + "Factory",
         lambda: filler() + " " + pick(list("/-_")).join(["module", *(pick(DICTIONARY) for _ in range(n(2, 5)))]),
         lambda: filler() + " " + pick(list("x-_=a+/")).replace("=", "-") * n(12, 80),
+        lambda: pick(["", "export ", "const ", filler() + " "]) + "_".join(pick([*DICTIONARY, *NAMES, "id", "aws", "db"]) for _ in range(n(3, 5))).upper() + pick(["", "x"]),
+        lambda: filler() + " " + pick(["", "'"]) + (pick(DICTIONARY) + pick(DICTIONARY) + pick(["ization", "ing", "ed", "able"])).capitalize(),
+        lambda: filler() + " " + pick([draw("digits", n(12, 20)), pick(DICTIONARY) + pick(DICTIONARY) + pick(DICTIONARY)]) + " " + pick(NAMES),
     )
     leet = lambda: pick(DICTIONARY).replace("a", "@").replace("o", "0").replace("e", "3")
     long_word = lambda: pick([w for w in DICTIONARY if len(w) >= 6])
@@ -155,7 +161,8 @@ def labelled_findings(seed: int = 7, each: int = 220) -> list[tuple[str, str, in
         for make in kinds:
             for _ in range(each):
                 path = pick(["", "src", "src/main/app", "etc/conf", "lib/util"] + (["tests/data", "docs/example"] if label == 0 else []))
-                out.append((make(), path, label))
+                text = make()
+                out.append((text if text.split()[-1] in NAMES else text + pick(["", " ", ", ", ". "]).rstrip(" ") + " " + filler(), path, label))
     return out
 
 
@@ -218,15 +225,15 @@ class Forest:
 def train(spark: SparkSession, findings: list[tuple[str, str, int]] | None = None) -> Forest:
     """A forest from labelled findings; their number bounds what the driver holds."""
     rows = spark.createDataFrame(findings or labelled_findings(), "text string, path string, label int")
-    table = candidates(rows, "text", "path").select("label", F.element_at("__found", -1).alias("c")).where("c is not null").select("label", *[f"c.f.{n}" for n in FEATURES]).collect()
+    table = candidates(rows, "text", "path").select("label", F.try_element_at("__found", F.lit(-1)).alias("c")).where("c is not null").select("label", *[f"c.f.{n}" for n in FEATURES]).collect()
     data = np.array([tuple(map(float, r)) for r in table])
     return Forest().fit(data[:, 1:], data[:, 0])
 
 
 def scan(docs: DataFrame, text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5, forest: Forest | None = None) -> DataFrame:
-    """docs with n_candidates and findings, an array of (secret, previous word, score)."""
+    """docs with n_candidates and findings, an array of (secret, word before, word after, score)."""
     forest = forest or train(docs.sparkSession)
-    scored = F.expr(f"transform(__found, c -> named_struct('secret', c.cand, 'prev', c.prev, 'score', {forest.sql(FEATURES, 'c.f')}))")
+    scored = F.expr(f"transform(__found, c -> named_struct('secret', c.cand, 'prev', c.prev, 'next', c.next, 'score', {forest.sql(FEATURES, 'c.f')}))")
     return (
         candidates(docs, text_col, path_col)
         .withColumn("n_candidates", F.size("__found"))
