@@ -6,6 +6,8 @@ longest single document, never the table.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -132,7 +134,14 @@ def id_array(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NO_ID)
 
 
-def chunks(batches: Iterable[pa.RecordBatch], most: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> Iterator[Chunk]:
+def trim() -> None:
+    """Gives memory that is free back to the system; Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another libc has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def chunks(batches: Iterable[pa.RecordBatch], most: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> Iterator[Chunk]:
     """Cuts batches into runs of documents of about ``most`` bytes; a longer document is a run of its own."""
     for batch in batches:
         if not batch.num_rows:
@@ -145,6 +154,7 @@ def chunks(batches: Iterable[pa.RecordBatch], most: int = 2 << 20, id_col: str =
             j = min(n, max(j, i + 1), i + 20_000)
             yield Chunk(ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], batch.slice(i, j - i))
             i = j
+    trim()
 
 
 def covered(at: np.ndarray, k: int, n: int) -> np.ndarray:

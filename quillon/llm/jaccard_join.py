@@ -137,7 +137,7 @@ def postings(docs: DataFrame, counts: np.ndarray, ranges: int, k: int, percent:
             at = order[nth < most[s.doc]]
             held.append((s.hash[at], s.print_[s.doc[at]], s.n[s.doc[at]].astype("<u4")))
             size += len(at)
-            if size > 1_500_000:
+            if size > 600_000:
                 yield from out(held)
                 held, size = [], 0
         if held:
