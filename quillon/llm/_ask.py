@@ -22,7 +22,7 @@ from ._store import width
 
 PART, BUCKET = "__part", "__bucket"
 #: Text of a part, and text whose hashes meet in a bucket.
-PART_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
+PART_BYTES, BUCKET_BYTES = 3 << 20, 16 << 20
 
 
 def deal(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:

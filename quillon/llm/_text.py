@@ -41,7 +41,7 @@ LOWER[65:91] += 32
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """r**i and r**-i modulo 2**64 for i < n."""
     if _POW.get("n", 0) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         _POW["n"] = size
         for key, r in (("up", _R), ("down", _RINV)):
             a = np.full(size, r, np.uint64)

@@ -32,7 +32,7 @@ class _Part:
 
     def __init__(self, table: pa.Table):
         hashes, doc, ids, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        for chunk in chunks(table.select(["doc_id", "text"]).to_batches()):
+        for chunk in chunks(table.select(["doc_id", "text"]).to_batches(), most=512 << 10):
             words = chunk.words()
             hashes.append(words.hash)
             doc.append(words.doc + base)
