@@ -375,11 +375,11 @@ def _(spark, d):
     return out.select("id", F.array_join("status", "|").alias("status"), F.array_join("buyer", "|").alias("buyer"))
 
 
-@query("con_shape", f"""SELECT '{B}region/' || r_regionkey AS id, CASE count(n_nationkey) WHEN 0 THEN NULL WHEN 1 THEN '"' || min(n_name) || '"' ELSE '["' || string_agg(n_name, '","' ORDER BY n_name) || '"]' END AS doc FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey < 8 GROUP BY r_regionkey""")
+@query("con_shape", f"""SELECT '{B}region/' || r_regionkey AS id, CASE count(n_nationkey) WHEN 0 THEN NULL WHEN 1 THEN '"' || min(n_name) || '"' ELSE '["' || string_agg(n_name, '","' ORDER BY n_name) || '"]' END AS doc FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
 def _(spark, d):
     st = graph(spark, d, "nation", "region")
     names = rel.object_subject(st, NS + "region", NS + "name")
-    few = st.where(F.col("p") == NS + "region").where(key_of("s") < 8).select("s", F.col("o").alias("id")).join(st.where(F.col("p") == NS + "name").select("s", F.col("o").alias("v")), "s")
+    few = st.where(F.col("p") == NS + "region").select("s", F.col("o").alias("id")).join(st.where(F.col("p") == NS + "name").select("s", F.col("o").alias("v")), "s")
     lists = few.groupBy("id").agg(F.array_sort(F.collect_list("v")).alias("v"))
     assert names.columns == ["s", "via", "o", "otype"]
     return path(st, "/q:Region").select("id").join(lists, "id", "left").select("id", shaped(F.col("v")).alias("doc"))
@@ -388,7 +388,7 @@ def _(spark, d):
 for _name, _text in (("con_id", "{ id : ?x, name }"), ("con_dict", "{ name }")):
     objects(_name, _text, f"SELECT '{B}nation/' || n_nationkey AS id, n_name AS name FROM nation", "nation")
 objects("con_list", '{ "names" : [name] where(region is not null) }'.replace("where(region is not null)", "where(not (region is null))"), f"SELECT '{B}nation/' || n_nationkey AS id, n_name AS names FROM nation", "nation")
-objects("project_field", '{ "of" : region where(name = \'CHINA\') }', f"SELECT '{B}nation/' || n_nationkey AS id, '{B}region/' || n_regionkey AS \"of\" FROM nation WHERE n_name = 'NATION_8'", "nation")
+objects("project_field", '{ "of" : region where(name = \'NATION_8\') }', f"SELECT '{B}nation/' || n_nationkey AS id, '{B}region/' || n_regionkey AS \"of\" FROM nation WHERE n_name = 'NATION_8'", "nation")
 
 
 @query("udf_register", f"SELECT '{B}nation/' || n_nationkey AS id, reverse(n_name) AS back FROM nation")

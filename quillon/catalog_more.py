@@ -284,7 +284,7 @@ def _(spark, d):
 
 
 def _cells(spark, d):
-    turns = table(spark, d, "conversations").where("conv_id < 20").select("conv_id", "turn", "role")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
     w = Window.partitionBy("conv_id").orderBy("turn")
     cell = lambda t: F.concat(F.lit("bnode:c"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
     rows = turns.withColumn("next", F.lead("turn").over(w)).withColumn("rank", F.row_number().over(w))
@@ -292,7 +292,7 @@ def _cells(spark, d):
     return st, rows.where("rank = 1").select(cell(F.col("turn")).alias("s"))
 
 
-@query("list_order", "SELECT conv_id, turn || ':' || role AS item, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations WHERE conv_id < 20")
+@query("list_order", "SELECT conv_id, turn || ':' || role AS item, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations")
 def _(spark, d):
     st, heads = _cells(spark, d)
     got = up.list_order(st, heads)

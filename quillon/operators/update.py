@@ -57,21 +57,29 @@ def resource_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return diff(old, new, TRIPLE)
 
 
-def list_order(st: DataFrame, heads: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(head, pos, item, otype) of RDF lists; a list that runs into itself is an error."""
+def list_order(st: DataFrame, heads: DataFrame) -> DataFrame:
+    """(head, pos, item, otype) of RDF lists; a list that runs into itself is an error.
+
+    Jumps double in length each round, so a list of n items takes log2(n) rounds.
+    """
     from ..model import FIRST, NIL, REST
 
     first = st.where(F.col("p") == FIRST).select(F.col("s").alias("cell"), F.col("o").alias("item"), "otype")
     rest = st.where(F.col("p") == REST).select(F.col("s").alias("cell"), F.col("o").alias("next"))
-    cells = front = heads.select(F.col("s").alias("head"), F.col("s").alias("cell"), F.lit(0).alias("pos"))
-    for pos in range(1, rounds):
-        front = front.join(rest, "cell").where(F.col("next") != NIL).select("head", F.col("next").alias("cell"), F.lit(pos).alias("pos"))
-        front = front.checkpoint() if st.sparkSession.sparkContext.getCheckpointDir() else front.persist()
-        if front.isEmpty():
+    keep = lambda df: df.checkpoint() if st.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    jump = keep(rest.where(F.col("next") != NIL).distinct())
+    most, length = jump.count(), 1
+    cells = heads.select(F.col("s").alias("head"), F.col("s").alias("cell"), F.lit(0).cast("long").alias("pos"))
+    while True:
+        new = keep(cells.join(jump, "cell").select("head", F.col("next").alias("cell"), (F.col("pos") + length).alias("pos")))
+        if new.isEmpty():
             break
-        if not front.join(cells, ["head", "cell"], "left_semi").isEmpty():
+        if length > most:  # more places than cells
             raise ValueError("circular list")
-        cells = cells.unionByName(front)
+        cells = keep(cells.unionByName(new))
+        then = jump.select(F.col("cell").alias("next"), F.col("next").alias("then"))
+        jump = keep(jump.join(then, "next").select("cell", F.col("then").alias("next")))
+        length *= 2
     return cells.join(first, "cell").select("head", "pos", "item", "otype")
 
 

@@ -2,8 +2,11 @@
 
 A node set is a DataFrame: resources have ``id``, statements and their objects have s, p, o and otype. A path is
 navigated for all nodes at once: a step from a resource to its statements is a join on s, from an object to the
-statements of the resource it names a join on o. A predicate marks the keys of the nodes it holds for and
-becomes a semi-join; names of classes and properties become semi-joins with the closure of the schema.
+statements of the resource it names a join on o. A predicate of resources or statements is worked out over all
+statements, its property filtered in the scan, whatever the nodes it is asked of, and becomes one semi-join by key, so
+predicates side by side add their scans and never multiply them. Names of classes and properties become semi-joins with the
+closure of the schema. Statements that stand twice are one node: they are made distinct where nodes are counted, added up or numbered,
+and in the result, not in every scan.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ COMPARE = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b
 class Nodes:
     level: str  # document, resource, statement, object, value
     df: DataFrame | None
+    single: bool = False  # all nodes share one context
 
     def value(self) -> Column:
         return F.col({"resource": "id", "value": "v"}.get(self.level, "o"))
@@ -47,7 +51,7 @@ class Engine:
     """Evaluates paths over statements; ``prefixes`` maps the prefixes of names to namespaces."""
 
     def __init__(self, st: DataFrame, prefixes: dict[str, str], variables: dict | None = None):
-        self.st = st.dropDuplicates(["s", "p", "o", "otype"])
+        self.st = st.select("s", "p", "o", "otype")
         self.prefixes = {"rdf": RDF} | prefixes
         self.variables = variables or {}
         self._below: dict[str, DataFrame] = {}
@@ -74,7 +78,7 @@ class Engine:
             return Nodes(a.level, a.df.select(*columns).unionByName(b.df.select(*columns)).distinct())
         if isinstance(expr, Call) and expr.name == "filtered":
             out = self.run(expr.args[0])
-            out.df = out.df.withColumn(CONTEXT, F.lit(""))
+            out = Nodes(out.level, out.df.withColumn(CONTEXT, F.lit("")), KEY not in out.df.columns)
             for p in expr.args[1:]:
                 out = self.filter(out, p)
             return out
@@ -83,7 +87,7 @@ class Engine:
             values = self.run(wanted).df.select(F.explode(F.split(self.run(wanted).value(), r"\s+")).alias("id")) if isinstance(wanted, Path) else None
             known = self.resources()
             found = known.join(values.distinct(), "id", "left_semi") if values is not None else known.where(F.col("id").isin(str(wanted.value).split()))
-            return Nodes("resource", found.withColumn(CONTEXT, F.lit("")))
+            return Nodes("resource", found.withColumn(CONTEXT, F.lit("")), True)
         if isinstance(expr, Path):
             return self.walk(Nodes("document", None), expr)
         raise SyntaxError(f"not a node set: {expr}")
@@ -92,6 +96,16 @@ class Engine:
         """Every subject, and every object that is a resource."""
         return self.st.select(F.col("s").alias("id")).unionByName(self.st.where("otype = 'R'").select(F.col("o").alias("id"))).distinct()
 
+    def free(self, here: Nodes, path: Path) -> Nodes:
+        """Where a predicate's path sets out: all resources or statements, keyed, if it goes down from there; else the nodes themselves."""
+        if not path.steps or path.steps[0].axis != "child" or KEY not in here.df.columns:
+            return here
+        if here.level == "resource":
+            return Nodes("resource", None)
+        if here.level == "statement":
+            return Nodes("statement", self.st.withColumn(KEY, here.identity()))
+        return here
+
     def walk(self, nodes: Nodes, path: Path) -> Nodes:
         for step in path.steps:
             nodes = self.step(nodes, step)
@@ -118,8 +132,10 @@ class Engine:
     def child(self, nodes: Nodes, test: str) -> Nodes:
         if nodes.level == "document":
             if test == "*" or test.endswith("()") or test.endswith(":*"):
-                return Nodes("resource", self.resources().withColumn(CONTEXT, F.lit("")))
-            return Nodes("resource", schema.instances(self.st, self.uri(test), self.below("class")).select(F.col("s").alias("id")).withColumn(CONTEXT, F.lit("")))
+                return Nodes("resource", self.resources().withColumn(CONTEXT, F.lit("")), True)
+            return Nodes("resource", schema.instances(self.st, self.uri(test), self.below("class")).select(F.col("s").alias("id")).withColumn(CONTEXT, F.lit("")), True)
+        if nodes.df is None:
+            return Nodes("statement", self.st.withColumn(KEY, F.col("s")).withColumn(CONTEXT, F.concat_ws("\x01", KEY, "s")))
         keep = self.carry(nodes.df)
         if nodes.level == "statement":
             return Nodes("object", nodes.df.withColumn(CONTEXT, nodes.identity()))
@@ -188,10 +204,27 @@ class Engine:
         out = self.holds(here, expr).df
         if "__outer" in out.columns:
             out = out.drop(KEY).withColumnRenamed("__outer", KEY)
-        return Nodes(nodes.level, out.select(*outer))
+        return Nodes(nodes.level, out.select(*outer), nodes.single)
+
+    def keys(self, here: Nodes, expr) -> DataFrame | None:
+        """Keys of nodes that an expression holds for, here or elsewhere; None where that depends on the nodes here."""
+        if isinstance(expr, Binary) and expr.op in ("and", "or"):
+            a, b = self.keys(here, expr.left), self.keys(here, expr.right)
+            if a is None or b is None:
+                return None
+            return a.join(b, KEY, "left_semi") if expr.op == "and" else a.unionByName(b)
+        if isinstance(expr, Binary) and expr.op in COMPARE:
+            if any(isinstance(x, Call) and x.name in ("position", "last") for x in (expr.left, expr.right)):
+                return None
+            return self.compared(here, expr).select(KEY)
+        if isinstance(expr, Path):
+            return self.walk(self.free(here, expr), expr).df.select(KEY)
+        return None
 
     def holds(self, here: Nodes, expr) -> Nodes:
         df = here.df
+        if (keys := self.keys(here, expr)) is not None:
+            return Nodes(here.level, df.join(keys.distinct(), KEY, "left_semi"), here.single)
         if isinstance(expr, Literal) and isinstance(expr.value, float):
             return self.positioned(here, "=", expr)
         if isinstance(expr, Binary) and expr.op == "and":
@@ -200,7 +233,9 @@ class Engine:
             keys = self.holds(here, expr.left).df.select(KEY).unionByName(self.holds(here, expr.right).df.select(KEY)).distinct()
             return Nodes(here.level, df.join(keys, KEY, "left_semi"))
         if isinstance(expr, Call) and expr.name == "not":
-            return Nodes(here.level, df.join(self.holds(here, expr.args[0]).df.select(KEY), KEY, "left_anti"))
+            keys = self.keys(here, expr.args[0])
+            keys = self.holds(here, expr.args[0]).df.select(KEY) if keys is None else keys
+            return Nodes(here.level, df.join(keys.distinct(), KEY, "left_anti"), here.single)
         if isinstance(expr, Call) and expr.name in ("true", "false"):
             return here if expr.name == "true" else Nodes(here.level, df.where(F.lit(False)))
         if isinstance(expr, Call) and expr.name == "last" or isinstance(expr, Call) and expr.name == "position":
@@ -210,9 +245,6 @@ class Engine:
                 if isinstance(a, Call) and a.name == "position":
                     op = expr.op.translate(str.maketrans("<>", "><")) if flip else expr.op
                     return self.positioned(here, op, b)
-            return self.semi(here, self.compared(here, expr))
-        if isinstance(expr, Path):
-            return self.semi(here, self.walk(here, expr).df)
         value, frame = self.value(here, expr)
         return self.semi(here, frame.where(xpath.boolean(value)))
 
@@ -220,9 +252,20 @@ class Engine:
         return Nodes(here.level, here.df.join(frame.select(KEY).distinct(), KEY, "left_semi"))
 
     def positioned(self, here: Nodes, op: str, wanted) -> Nodes:
+        last = isinstance(wanted, Call) and wanted.name == "last"
+        if here.single and (last and op == "=" or isinstance(wanted, Literal) and op in ("=", "<", "<=") and wanted.value == int(wanted.value)):
+            # the first or last few of one context: top rows of each partition, never all rows in one task
+            rows = here.df.distinct()
+            if last:
+                return Nodes(here.level, rows.orderBy(*[c.desc() for c in here.order()]).limit(1))
+            n = int(wanted.value) - (op == "<")
+            if n < 1:
+                return Nodes(here.level, rows.where(F.lit(False)))
+            top = rows.orderBy(*here.order()).limit(n)
+            return Nodes(here.level, top.orderBy(*here.order()).offset(n - 1) if op == "=" else top)
         group = Window.partitionBy(CONTEXT)
-        df = here.df.withColumn("__n", F.row_number().over(group.orderBy(*here.order())))
-        if isinstance(wanted, Call) and wanted.name == "last":
+        df = here.df.distinct().withColumn("__n", F.row_number().over(group.orderBy(*here.order())))
+        if last:
             df = df.withColumn("__last", F.count("*").over(group))
             other = F.col("__last")
         else:
@@ -251,15 +294,16 @@ class Engine:
         if self.constant(expr):
             return self.literal(expr), here.df.select(KEY)
         if isinstance(expr, Path):
-            out = self.walk(here, expr)
+            out = self.walk(self.free(here, expr) if every else here, expr)
             frame = out.df.select(KEY, out.value().alias("__v"))
             return F.col("__v"), frame.distinct() if every else here.df.select(KEY).join(frame.groupBy(KEY).agg(F.min("__v").alias("__v")), KEY, "left")
         if isinstance(expr, Call) and expr.name == "count":
-            frame = self.walk(here, expr.args[0]).df.groupBy(KEY).agg(F.count("*").alias("__v"))
+            out = self.walk(self.free(here, expr.args[0]), expr.args[0])
+            frame = out.df.select(KEY, out.identity().alias("__i")).distinct().groupBy(KEY).agg(F.count("*").alias("__v"))
             return F.coalesce("__v", F.lit(0)).cast("double"), here.df.select(KEY).join(frame, KEY, "left")
         if isinstance(expr, Call) and expr.name == "sum":
-            out = self.walk(here, expr.args[0])
-            frame = out.df.groupBy(KEY).agg(F.sum(xpath.number(out.value())).alias("__v"))
+            out = self.walk(self.free(here, expr.args[0]), expr.args[0])
+            frame = out.df.select(KEY, out.identity().alias("__i"), out.value().alias("__v")).distinct().groupBy(KEY).agg(F.sum(xpath.number(F.col("__v"))).alias("__v"))
             return F.coalesce("__v", F.lit(0.0)), here.df.select(KEY).join(frame, KEY, "left")
         name, args = (expr.op, (expr.left, expr.right)) if isinstance(expr, Binary) else (expr.name, expr.args or (Path(False, (Step("self", "node()"),)),))
         frame, columns = here.df.select(KEY).distinct(), []

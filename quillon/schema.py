@@ -21,6 +21,8 @@ def closure(pairs: DataFrame, reflexive: bool = True, rounds: int = 40) -> DataF
     spark = pairs.sparkSession
     known = pairs.select("a", "b").distinct()
     count = known.count()
+    if not count:
+        return spark.createDataFrame([], "a string, b string")
     for _ in range(rounds):
         step = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
         known = known.unionByName(step).distinct()
@@ -37,16 +39,18 @@ def closure(pairs: DataFrame, reflexive: bool = True, rounds: int = 40) -> DataF
     return known
 
 
-def reachable(pairs: DataFrame, start: DataFrame, inverse: bool = False, rounds: int = 100) -> DataFrame:
+def reachable(pairs: DataFrame, start: DataFrame, inverse: bool = False, rounds: int = 100_000) -> DataFrame:
     """Nodes that can be reached from start (column a), start included; only new nodes are followed each round."""
     edges_ = pairs.select(F.col("b").alias("a"), F.col("a").alias("b")) if inverse else pairs
     known = front = start.select("a").distinct()
-    for _ in range(rounds):
+    for turn in range(rounds):
         front = front.join(edges_, "a").select(F.col("b").alias("a")).distinct().join(known, "a", "left_anti")
         front = front.checkpoint() if known.sparkSession.sparkContext.getCheckpointDir() else front.persist()
         if front.isEmpty():
             return known
         known = known.unionByName(front)
+        if turn % 16 == 15:  # a long chain's union stays short
+            known = known.checkpoint() if known.sparkSession.sparkContext.getCheckpointDir() else known.persist()
     raise RuntimeError("reachability did not settle")
 
 

@@ -1,4 +1,4 @@
-"""A spread of the named queries against their SQL in DuckDB, on the smallest tables."""
+"""All named queries against their SQL in DuckDB, on the smallest tables."""
 
 from collections import Counter
 from pathlib import Path
@@ -9,13 +9,6 @@ import pytest
 from quillon import catalog
 
 SF = Path("/root/testdata/sf0.001")
-SOME = (
-    "path_flagship path_positional path_type_test pred_or pred_not join_label con_nested con_shape orderby arith join_inner join_closure set_triple_diff "
-    "model_txn scan_reified src_ntriples src_rdfxml src_rdfjson src_sjson src_xml_markup src_ntriples_log ft_bool ft_phrase topk_search infer_retract "
-    "list_order merge_graph add_graph diff_resource xu_rename hist_spans hist_show ctx_parse constraint_schematron auth_row_filter action_pipeline fn_sha1 fn_diff"
-).split()
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -30,7 +23,7 @@ def rows(columns, values):
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no tables")
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, str(SF))
     want = duck.execute(catalog.oracle_sql()[name])
