@@ -128,13 +128,13 @@ def _(spark, d):
 
 
 def _english(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text", "source")
+    return table(spark, d, "documents").select("doc_id", "text", "source")
 
 
-TOK = r"(SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS terms FROM documents WHERE lang = 'en')"
+TOK = r"(SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS terms FROM documents )"
 POST = f"(SELECT doc_id, term, count(*) AS freq FROM (SELECT doc_id, unnest(terms) AS term FROM {TOK}) GROUP BY 1, 2)"
 NORM = f"(SELECT doc_id, CASE WHEN len(terms) > 0 THEN (CAST(ceil(255.0 / sqrt(len(terms))) AS INTEGER) & 255) / 255.0 ELSE 0 END AS norm FROM {TOK})"
-COUNT = "(SELECT count(*) AS n FROM documents WHERE lang = 'en')"
+COUNT = "(SELECT count(*) AS n FROM documents )"
 
 
 def _index(spark, d):
@@ -217,7 +217,7 @@ def _(spark, d):
     return a.join(b.withColumn("p", F.col("p") - 1), ["doc", "p"]).join(hits, "doc", "left_semi").groupBy("doc").agg(F.count("*").alias("freq"))
 
 
-@query("ft_find_any", f"SELECT doc_id AS doc FROM {POST} WHERE term = 'that' UNION SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src3'")
+@query("ft_find_any", f"SELECT doc_id AS doc FROM {POST} WHERE term = 'that' UNION SELECT doc_id FROM documents WHERE source = 'src3'")
 def _(spark, d):
     return ft.any_field(_index(spark, d), {"text": "that", "source": "src3"}).select("doc")
 
@@ -240,7 +240,7 @@ def _(spark, d):
 
 
 Q["fn_search"], SQL["fn_search"] = Q["ft_linear"], SQL["ft_linear"]
-Q["src_text_index_doc"], SQL["src_text_index_doc"] = (lambda spark, d: _index(spark, d).stored), "SELECT doc_id AS doc, source FROM documents WHERE lang = 'en'"
+Q["src_text_index_doc"], SQL["src_text_index_doc"] = (lambda spark, d: _index(spark, d).stored), "SELECT doc_id AS doc, source FROM documents"
 
 
 # schema

@@ -30,6 +30,7 @@ class Nodes:
     level: str  # document, resource, statement, object, value
     df: DataFrame | None
     single: bool = False  # all nodes share one context
+    every: bool = False  # all resources
 
     def value(self) -> Column:
         return F.col({"resource": "id", "value": "v"}.get(self.level, "o"))
@@ -132,7 +133,7 @@ class Engine:
     def child(self, nodes: Nodes, test: str) -> Nodes:
         if nodes.level == "document":
             if test == "*" or test.endswith("()") or test.endswith(":*"):
-                return Nodes("resource", self.resources().withColumn(CONTEXT, F.lit("")), True)
+                return Nodes("resource", self.resources().withColumn(CONTEXT, F.lit("")), True, test == "*")
             return Nodes("resource", schema.instances(self.st, self.uri(test), self.below("class")).select(F.col("s").alias("id")).withColumn(CONTEXT, F.lit("")), True)
         if nodes.df is None:
             return Nodes("statement", self.st.withColumn(KEY, F.col("s")).withColumn(CONTEXT, F.concat_ws("\x01", KEY, "s")))
@@ -167,8 +168,7 @@ class Engine:
             if test.endswith(":*"):
                 df = df.where(F.col("p").startswith(self.prefixes[test[:-2]]))
             elif test not in ("*", "node()"):
-                names = schema.with_self(self.below("property"), self.uri(test)).withColumnRenamed("a", "p")
-                df = df.join(names, "p", "left_semi")
+                df = schema.property_statements(df, self.uri(test), self.below("property"))
         elif nodes.level == "object":
             if test == "text()":
                 df = df.where("otype <> 'R'")
@@ -200,7 +200,7 @@ class Engine:
         """The nodes a predicate holds for."""
         outer = nodes.df.columns
         marked = nodes.df.withColumn("__outer", F.col(KEY)) if KEY in outer else nodes.df
-        here = Nodes(nodes.level, marked.withColumn(KEY, nodes.identity()))
+        here = Nodes(nodes.level, marked.withColumn(KEY, nodes.identity()), nodes.single, nodes.every)
         out = self.holds(here, expr).df
         if "__outer" in out.columns:
             out = out.drop(KEY).withColumnRenamed("__outer", KEY)
@@ -212,7 +212,7 @@ class Engine:
             a, b = self.keys(here, expr.left), self.keys(here, expr.right)
             if a is None or b is None:
                 return None
-            return a.join(b, KEY, "left_semi") if expr.op == "and" else a.unionByName(b)
+            return a.distinct().join(b.distinct(), KEY) if expr.op == "and" else a.unionByName(b)
         if isinstance(expr, Binary) and expr.op in COMPARE:
             if any(isinstance(x, Call) and x.name in ("position", "last") for x in (expr.left, expr.right)):
                 return None
@@ -224,7 +224,10 @@ class Engine:
     def holds(self, here: Nodes, expr) -> Nodes:
         df = here.df
         if (keys := self.keys(here, expr)) is not None:
-            return Nodes(here.level, df.join(keys.distinct(), KEY, "left_semi"), here.single)
+            if here.every and set(df.columns) == {"id", KEY, CONTEXT} and self.below_here(expr):
+                found = keys.distinct().select(F.col(KEY).alias("id"), KEY, F.lit("").alias(CONTEXT))  # who has statements is a resource
+                return Nodes(here.level, found, here.single)
+            return Nodes(here.level, self.among(df, keys), here.single)
         if isinstance(expr, Literal) and isinstance(expr.value, float):
             return self.positioned(here, "=", expr)
         if isinstance(expr, Binary) and expr.op == "and":
@@ -249,7 +252,19 @@ class Engine:
         return self.semi(here, frame.where(xpath.boolean(value)))
 
     def semi(self, here: Nodes, frame: DataFrame) -> Nodes:
-        return Nodes(here.level, here.df.join(frame.select(KEY).distinct(), KEY, "left_semi"))
+        return Nodes(here.level, self.among(here.df, frame.select(KEY)))
+
+    @staticmethod
+    def among(df: DataFrame, keys: DataFrame) -> DataFrame:
+        """Rows with one of the keys. An inner join with distinct keys: a semi-join would be pushed into every branch of a union, and copied there."""
+        return df.join(keys.distinct(), KEY).select(*df.columns)
+
+    def below_here(self, expr) -> bool:
+        """Whether an expression asks only for what lies below a node by child steps."""
+        if isinstance(expr, Binary):
+            sides = [x for x in (expr.left, expr.right) if not self.constant(x)]
+            return bool(sides) and all(self.below_here(x) for x in sides)
+        return isinstance(expr, Path) and bool(expr.steps) and expr.steps[0].axis == "child"
 
     def positioned(self, here: Nodes, op: str, wanted) -> Nodes:
         last = isinstance(wanted, Call) and wanted.name == "last"

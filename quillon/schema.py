@@ -22,7 +22,9 @@ def closure(pairs: DataFrame, reflexive: bool = True, rounds: int = 40) -> DataF
     known = pairs.select("a", "b").distinct()
     count = known.count()
     if not count:
-        return spark.createDataFrame([], "a string, b string")
+        known = spark.createDataFrame([], "a string, b string")
+        known._none = True
+        return known
     for _ in range(rounds):
         step = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
         known = known.unionByName(step).distinct()
@@ -63,9 +65,16 @@ def subproperties(st: DataFrame) -> DataFrame:
     return closure(edges(st, SUBPROPERTY))
 
 
+def nothing_below(pairs: DataFrame) -> bool:
+    """Whether a closure is known to be empty: then a name stands for itself alone."""
+    return getattr(pairs, "_none", False)
+
+
 def with_self(pairs: DataFrame, name: str) -> DataFrame:
     """Names at or below a name, the name itself even where nothing is said about it."""
     own = pairs.sparkSession.createDataFrame([(name,)], "a string")
+    if nothing_below(pairs):
+        return own
     return pairs.where(F.col("b") == name).select("a").unionByName(own).distinct()
 
 
@@ -73,12 +82,16 @@ def instances(st: DataFrame, cls: str, below: DataFrame | None = None) -> DataFr
     """Subjects of a class or of one below it."""
     below = subclasses(st) if below is None else below
     typed = st.where(F.col("p") == TYPE).select("s", F.col("o").alias("a"))
+    if nothing_below(below):
+        return typed.where(F.col("a") == cls).select("s").distinct()
     return typed.join(with_self(below, cls), "a", "left_semi").select("s").distinct()
 
 
 def property_statements(st: DataFrame, prop: str, below: DataFrame | None = None) -> DataFrame:
     """Statements of a property or of one below it."""
     below = subproperties(st) if below is None else below
+    if nothing_below(below):
+        return st.where(F.col("p") == prop)
     return st.join(with_self(below, prop).withColumnRenamed("a", "p"), "p", "left_semi").select(*st.columns)
 
 
