@@ -90,13 +90,6 @@ def _(spark, d):
     return scan.contains(graph(spark, d, "nation"), asked)
 
 
-@query("scan_exists", "SELECT c_mktsegment AS segment, true AS found FROM customer GROUP BY 1")
-def _(spark, d):
-    st = graph(spark, d, "customer")
-    asked = st.where(F.col("p") == NS + "segment").select(F.col("o").alias("segment")).distinct()
-    return asked.withColumn("found", F.lit(scan.exists(st)))
-
-
 @query("scan_size", "SELECT count(*) AS subjects, 5 * count(*) AS statements FROM customer")
 def _(spark, d):
     return scan.size(graph(spark, d, "customer"))
@@ -416,12 +409,8 @@ def _sides(spark, d):
 
 Q["join_anti"] = lambda spark, d: rel.anti(*_sides(spark, d), "k")
 SQL["join_anti"] = "SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
-Q["set_except"] = Q["join_anti"]
-SQL["set_except"] = SQL["join_anti"]
 Q["join_semi"] = lambda spark, d: rel.semi(*_sides(spark, d), "k")
 SQL["join_semi"] = "SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"
-Q["join_left_inner"] = Q["join_semi"]
-SQL["join_left_inner"] = SQL["join_semi"]
 Q["join_outer"] = lambda spark, d: rel.outer(*_sides(spark, d), "k")
 SQL["join_outer"] = "SELECT c_custkey AS k, c_name, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey"
 Q["join_merge"] = lambda spark, d: _sides(spark, d)[0].join(_sides(spark, d)[1].hint("merge"), "k")
@@ -466,8 +455,7 @@ def _group(spark, d):
     return rel.group_nested(n, "n_regionkey").select("n_regionkey", F.array_join(F.transform("rows", lambda r: r["n_name"]), "|").alias("names"))
 
 
-for _name in ("group_unordered", "group_ordered"):
-    Q[_name], SQL[_name] = _group, "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY 1"
+Q["group_unordered"], SQL["group_unordered"] = _group, "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY 1"
 
 
 @query("get_nested_column", "SELECT n_name FROM nation")
@@ -504,12 +492,6 @@ def _(spark, d):
     return rel.facets(topics, NS + "topic", ["1-URGENT"])
 
 
-@query("agg_first_nonempty", "SELECT doc_id, coalesce(quality, toxic, -1) AS label FROM documents LEFT JOIN labels USING (doc_id)")
-def _(spark, d):
-    both = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
-    return both.select("doc_id", F.coalesce("quality", "toxic", F.lit(-1)).alias("label"))
-
-
 @query("agg_distinct", f"SELECT DISTINCT '{B}nation/' || c_nationkey AS o FROM customer")
 def _(spark, d):
     return scan.pattern(graph(spark, d, "customer"), p=NS + "nation").select("o").distinct()
@@ -572,3 +554,4 @@ def _(spark, d):
 
 
 from . import catalog_more  # noqa: E402, F401  the rest of the queries
+from . import catalog_each  # noqa: E402, F401, I001

@@ -76,8 +76,7 @@ class Script:
 
     def do_variable(self, e):
         nodes = self.select(e.get("select"))
-        found = nodes.df.select(nodes.value().alias("v")).distinct().orderBy("v").limit(1).collect()  # one value
-        self.variables[e.get("name")] = found[0].v if found else ""
+        self.variables[e.get("name")] = nodes.df.select(nodes.value().cast("string").alias("v")).distinct()
 
     def do_remove(self, e):
         graph, old = e.get("to-graph"), self.statements(self.select(e.get("select")))

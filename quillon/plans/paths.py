@@ -289,6 +289,9 @@ class Engine:
 
     def compared(self, here: Nodes, expr: Binary) -> DataFrame:
         """Keys for which some pair of values compares; numbers where an order or a number is asked for."""
+        for one, other, op in ((expr.left, expr.right, expr.op), (expr.right, expr.left, expr.op.translate(str.maketrans("<>", "><")))):
+            if isinstance(other, Variable) and isinstance(self.variables[other.name], DataFrame):
+                return self.against(here, one, op, self.variables[other.name])
         a, left = self.value(here, expr.left, every=True)
         b, right = self.value(here, expr.right, every=True)
         left, right = left.select(KEY, a.alias("__a")), right.select(KEY, b.alias("__b"))
@@ -297,12 +300,31 @@ class Engine:
         x, y = (xpath.number(F.col(c)) if number else F.col(c).cast("string") for c in ("__a", "__b"))
         return both.where(COMPARE[expr.op](x, y))
 
+    def against(self, here: Nodes, expr, op: str, nodes: DataFrame) -> DataFrame:
+        """Keys for which some value compares with some node of a variable: by its values, or by the least and most of them."""
+        a, left = self.value(here, expr, every=True)
+        left = left.select(KEY, a.alias("__a"))
+        if op == "=":
+            return left.join(nodes, left["__a"].cast("string") == nodes["v"], "left_semi")
+        if op == "!=":
+            ends = nodes.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+            x, lo, hi = F.col("__a").cast("string"), F.col("lo"), F.col("hi")
+        else:
+            ends = nodes.select(xpath.number(F.col("v")).alias("n")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+            x, lo, hi = xpath.number(F.col("__a")), F.col("lo"), F.col("hi")
+        both = left.join(F.broadcast(ends))  # one row
+        return both.where(COMPARE[op](x, lo) | COMPARE[op](x, hi))
+
     @staticmethod
     def constant(expr) -> bool:
         return isinstance(expr, (Literal, Variable))
 
     def literal(self, expr) -> Column:
-        return F.lit(expr.value if isinstance(expr, Literal) else self.variables[expr.name])
+        value = expr.value if isinstance(expr, Literal) else self.variables[expr.name]
+        if isinstance(value, DataFrame):  # as a string: its first node's
+            first = value.agg(F.min("v")).first()[0]
+            value = "" if first is None else first
+        return F.lit(value)
 
     def value(self, here: Nodes, expr, every: bool = False) -> tuple[Column, DataFrame]:
         """An expression's value per node: a column, and a frame with the keys. every: all values of a path, else its first."""
