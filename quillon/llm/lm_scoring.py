@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _ask
-from ._store import cut, width
+from ._store import cut
 from ._text import U64, Chunk, chunks, id_array
 
 #: Ids of frequent words, and shared ids, of a small corpus; both grow with the distinct words (see ``sizes``).
@@ -213,7 +213,7 @@ def turns(place: np.ndarray, turn: int, rounds: int, mask: int) -> list[np.ndarr
     return [np.flatnonzero(place % mask == residue) for residue in range(turn % mask, mask, rounds)]
 
 
-def train(docs: DataFrame, rounds: int = 2, mask: int = 8, rate: float = 1.0, batch_size: int = 4096) -> tuple[Vocabulary, Network]:
+def train(docs: DataFrame, rounds: int = 2, mask: int = 8, rate: float = 1.0, batch_size: int = 8192) -> tuple[Vocabulary, Network]:
     """A vocabulary and a network from all words of all documents; one word in ``mask`` is predicted at a time."""
     vocabulary = vocabulary_of(docs)
     network, known = Network(size=vocabulary.size), vocabulary.alone()
@@ -224,7 +224,7 @@ def train(docs: DataFrame, rounds: int = 2, mask: int = 8, rate: float = 1.0, ba
 
         def run(batches, start=start, turn=turn):
             own, seen = Network(start, size=known.size), 0
-            for chunk in chunks(batches):
+            for chunk in chunks(batches, most=2 << 20):
                 words = chunk.words(lower=True)
                 ids = known.ids(words.hash)
                 for at in turns(np.arange(len(ids)) - words.first[words.doc], turn, rounds, mask):
@@ -268,9 +268,9 @@ def rare_words(chunk_list: Iterable[Chunk], known: Vocabulary) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def answers(dealt: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """For each part and bucket of the hash space, the corpus counts of the rare words that the part holds."""
-    n, known = width(dealt.sparkSession), vocabulary.alone()
+def answers(dealt: DataFrame, n: int, vocabulary: Vocabulary) -> DataFrame:
+    """For each part and bucket (of n) of the hash space, the corpus counts of the rare words that the part holds."""
+    known = vocabulary.alone()
 
     def ask(part: int, table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_ask.send(part, n, rare_words(chunks(table.to_batches()), known))])
@@ -300,12 +300,15 @@ def answers(dealt: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, block: int = 8192) -> DataFrame:
     """doc_id, n_words, sum_log_prob and mean_log_prob of every document."""
     flat, known = network.flat, vocabulary.alone()
-    parts = 2 * width(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").withColumn(_ask.PART, F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    dealt, n_buckets = _ask.deal(docs.select("doc_id", "text"))
 
     def run(part: int, table: pa.Table, replies: pa.Table) -> pa.Table:
         own = Network(flat, size=known.size)
-        rare = rare_words(chunks(table.to_batches()), known)
+        read = []  # of each run of documents: ids of rows, words of each, their hashes, ids and documents
+        for chunk in chunks(table.to_batches()):
+            words = chunk.words(lower=True)
+            read.append((chunk.ids, words.count, words.hash, known.ids(words.hash), words.doc))
+        rare = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h[ids >= known.n_frequent] for _, _, h, ids, _ in read)]))
         count = np.zeros(len(rare) + 1)
         at = 0
         for _, raw in sorted(zip(replies.column(_ask.BUCKET).to_pylist(), replies.column("counts").to_pylist())):
@@ -315,21 +318,18 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, block: int
         share = np.log(np.maximum(count, 1))  # of a shared id, whose words and one never counted divide it
         whole = np.log(known.shared + 1.0)
         out = [pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "sum_log_prob": pa.array([], pa.float64()), "mean_log_prob": pa.array([], pa.float64())})]
-        for chunk in chunks(table.to_batches()):
-            words = chunk.words(lower=True)
-            ids = known.ids(words.hash)
+        for rows, n, hashes, ids, doc in read:
             log = np.empty(len(ids))
             for i in range(0, len(ids), block):
                 at = np.arange(i, min(i + block, len(ids)))
-                log[at], _ = own.forward(context_of(ids, words.doc, at, known.size), ids[at])
+                log[at], _ = own.forward(context_of(ids, doc, at, known.size), ids[at])
             few = np.flatnonzero(ids >= known.n_frequent)
-            log[few] += share[np.searchsorted(rare, words.hash[few])] - whole[ids[few] - known.n_frequent]
-            total = np.bincount(words.doc, log, minlength=len(chunk)).astype(np.float64)
-            n = words.count
-            out.append(pa.table({"doc_id": id_array(chunk.ids), "n_words": pa.array(n), "sum_log_prob": pa.array(total), "mean_log_prob": pa.array(total / np.maximum(n, 1), mask=n == 0)}))
+            log[few] += share[np.searchsorted(rare, hashes[few])] - whole[ids[few] - known.n_frequent]
+            total = np.bincount(doc, log, minlength=len(rows)).astype(np.float64)
+            out.append(pa.table({"doc_id": id_array(rows), "n_words": pa.array(n), "sum_log_prob": pa.array(total), "mean_log_prob": pa.array(total / np.maximum(n, 1), mask=n == 0)}))
         return pa.concat_tables(out)
 
-    return _ask.with_replies(dealt, answers(dealt, vocabulary), run, "doc_id long, n_words long, sum_log_prob double, mean_log_prob double")
+    return _ask.with_replies(dealt, answers(dealt, n_buckets, vocabulary), run, "doc_id long, n_words long, sum_log_prob double, mean_log_prob double")
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
