@@ -54,13 +54,21 @@ class Vocabulary:
         self.order = np.argsort(self.frequent)
         self.sorted = self.frequent[self.order]
         self.counts, self.shared = counts, np.zeros(hashed, np.int64)
+        # by the first 16 bits of a hash: which frequent word has them, -1 for none, -2 for several
+        slot = (self.frequent >> U64(48)).astype(np.int64)
+        self.slots = np.full(1 << 16, -1, np.int64)
+        self.slots[slot] = np.arange(len(slot))
+        self.slots[np.bincount(slot, minlength=1 << 16) > 1] = -2
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         out = self.n_frequent + (h >> U64(33)).astype(np.int64) % self.n_hashed
         if len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            known = self.sorted[at] == h
-            out[known] = self.order[at[known]]
+            at = self.slots[(h >> U64(48)).astype(np.int64)]
+            several = np.flatnonzero(at == -2)
+            if len(several):
+                at[several] = self.order[np.minimum(np.searchsorted(self.sorted, h[several]), len(self.sorted) - 1)]
+            known = np.flatnonzero((at >= 0) & (self.frequent[at] == h))
+            out[known] = at[known]
         return out
 
     def alone(self) -> Vocabulary:
@@ -155,12 +163,20 @@ class Network:
 
 def context_of(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, none: int = SIZE) -> np.ndarray:
     """Ids at the neighbouring places; ``none`` where the document has none."""
-    out = np.full((len(at), len(REACH)), none)
+    return contexts(ids, doc, none)[at]
+
+
+def contexts(ids: np.ndarray, doc: np.ndarray, none: int) -> np.ndarray:
+    """Neighbouring ids of every place."""
+    out = np.full((len(ids), len(REACH)), none)
     for i, d in enumerate(REACH):
-        there = at + d
-        ok = (there >= 0) & (there < len(ids))
-        ok[ok] = doc[there[ok]] == doc[at[ok]]
-        out[ok, i] = ids[there[ok]]
+        n = abs(d)
+        if n < len(ids):
+            same = doc[n:] == doc[:-n]
+            if d > 0:
+                out[:-n, i] = np.where(same, ids[n:], none)
+            else:
+                out[n:, i] = np.where(same, ids[:-n], none)
     return out
 
 
@@ -210,7 +226,8 @@ def vocabulary_of(docs: DataFrame) -> Vocabulary:
 
 def turns(place: np.ndarray, turn: int, rounds: int, mask: int) -> list[np.ndarray]:
     """Positions that a round predicts, mask residue by mask residue of their place in the document; the rounds together take all."""
-    return [np.flatnonzero(place % mask == residue) for residue in range(turn % mask, mask, rounds)]
+    own = (place % mask).astype(np.int8) if mask < 128 else place % mask
+    return [np.flatnonzero(own == residue) for residue in range(turn % mask, mask, rounds)]
 
 
 def train(docs: DataFrame, rounds: int = 2, mask: int = 8, rate: float = 1.0, batch_size: int = 8192) -> tuple[Vocabulary, Network]:
@@ -227,8 +244,9 @@ def train(docs: DataFrame, rounds: int = 2, mask: int = 8, rate: float = 1.0, ba
             for chunk in chunks(batches, most=2 << 20):
                 words = chunk.words(lower=True)
                 ids = known.ids(words.hash)
+                around = contexts(ids, words.doc, known.size)
                 for at in turns(np.arange(len(ids)) - words.first[words.doc], turn, rounds, mask):
-                    context = context_of(ids, words.doc, at, known.size)
+                    context = around[at]
                     for i in range(0, len(at), batch_size):
                         own.step(context[i : i + batch_size], ids[at[i : i + batch_size]], rate)
                     seen += len(at)
@@ -319,10 +337,9 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, block: int
         whole = np.log(known.shared + 1.0)
         out = [pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "sum_log_prob": pa.array([], pa.float64()), "mean_log_prob": pa.array([], pa.float64())})]
         for rows, n, hashes, ids, doc in read:
-            log = np.empty(len(ids))
+            log, around = np.empty(len(ids)), contexts(ids, doc, known.size)
             for i in range(0, len(ids), block):
-                at = np.arange(i, min(i + block, len(ids)))
-                log[at], _ = own.forward(context_of(ids, doc, at, known.size), ids[at])
+                log[i : i + block], _ = own.forward(around[i : i + block], ids[i : i + block])
             few = np.flatnonzero(ids >= known.n_frequent)
             log[few] += share[np.searchsorted(rare, hashes[few])] - whole[ids[few] - known.n_frequent]
             total = np.bincount(doc, log, minlength=len(rows)).astype(np.float64)
