@@ -114,6 +114,8 @@ class Codec:
         that boundary is committed and leaves the window.
         """
         rank, ends, fits, longest = self.rank, self.ends, self.fits, self.longest
+        step = 4 * longest
+        due = base + step * ((len(back) - 1) // step + 1)
         for end in range(base + len(back), len(unit) + 1):
             for size in ends.get(unit[end - 1], (1,)):
                 begin = end - size
@@ -132,7 +134,7 @@ class Codec:
                         continue
                 back.append(piece)
                 break
-            if (end - base) % (4 * longest) == 0:
+            if end == due:
                 alive = set(range(end - longest + 1, end + 1))
                 while len(alive) > 1:  # the farthest first
                     p = max(alive)
@@ -141,6 +143,7 @@ class Codec:
                 if meet > base:
                     done += self._path(back, base, meet)
                     base, back = meet, back[meet - base :]  # the piece at the boundary still decides what may follow
+                due = end + step
         return base, back
 
     def learn(self, units) -> None:
