@@ -217,7 +217,7 @@ column("fn_escape_url", "customer", "c_custkey", lambda: F.url_encode(F.concat("
 column("fn_true_false", "nation", "n_nationkey", lambda: F.when(F.col("n_regionkey") == 1, F.lit(True)).otherwise(F.lit(False)), "n_regionkey = 1")
 column("fn_string_to_nodeset", "customer", "c_custkey", lambda: F.concat_ws("|", F.filter(F.array("c_name", F.nullif("c_mktsegment", F.lit("BUILDING"))), lambda x: x.isNotNull())), "c_name || CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE '|' || c_mktsegment END")
 column("fn_html_truncate", "pages", "page_id", lambda: tx.truncated(F.concat(F.lit("<b>"), F.lit("one two three four</b> "), F.col("page_id").cast("string")), 3), "'<b>one two three</b>'")
-column("fn_fix_links", "nation", "n_nationkey", lambda: tx.each(lambda v: tx.fix_links(v, "site:", "/base/"))(F.concat(F.lit('<a href="site:'), "n_name", F.lit('">x</a>'))), "'<a href=\"/base/' || n_name || '\">x</a>'")
+column("fn_fix_links", "nation", "n_nationkey", lambda: tx.fixed_links(F.concat(F.lit('<a href="site:'), "n_name", F.lit('">x</a>')), "site:", "/base/"), "'<a href=\"/base/' || n_name || '\">x</a>'")
 
 
 @query("fn_map", "SELECT r_name AS value FROM region UNION SELECT lower(r_name) FROM region")

@@ -258,3 +258,7 @@ def whitelisted(text: Column) -> Column:
 
 def truncated(text: Column, words: int) -> Column:
     return each(lambda v: html_truncate(v, words))(text)
+
+
+def fixed_links(text: Column, scheme_: str, base: str) -> Column:
+    return each(lambda v: fix_links(v, scheme_, base))(text)
