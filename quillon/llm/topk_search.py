@@ -79,6 +79,8 @@ class Block:
             part = np.zeros((n, q.shape[1]), kind)
             part[row, dim] = value
             partial += q[going] @ part.T
+            if i + 1 < len(self.segments) and np.median(norm[going]) * np.median(beyond) > 0.25 * np.abs(partial).max():
+                continue  # no proof in sight: the bounds are not worked out
             # what the segments left can add or take: by the largest component of each dimension, and by each row's length
             left = np.minimum((np.abs(q[going]) @ rest.astype(kind))[:, None], norm[going, None] * beyond[None, :]) + slack
             low = np.where(own[going], -np.inf, partial - left)
