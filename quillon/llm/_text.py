@@ -36,12 +36,13 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+LOWER_CODE = BYTE_CODE[LOWER]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """r**i and r**-i modulo 2**64 for i < n."""
     if _POW.get("n", 0) < n:
-        size = max(n, 1 << 20)
+        size = -(-n // (1 << 18)) << 18
         _POW["n"] = size
         for key, r in (("up", _R), ("down", _RINV)):
             a = np.full(size, r, np.uint64)
@@ -102,7 +103,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets).astype(np.int64)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(chunk)), self.count)
-        self.bytes = Prefix(BYTE_CODE[LOWER[data] if lower else data])
+        self.bytes = Prefix((LOWER_CODE if lower else BYTE_CODE)[data])
         self.hash = self.bytes.span(self.start, self.end)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:

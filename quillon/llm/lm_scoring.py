@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _ask
-from ._store import cut
+from ._store import cut, release
 from ._text import U64, Chunk, chunks, id_array
 
 #: Ids of frequent words, and shared ids, of a small corpus; both grow with the distinct words (see ``sizes``).
@@ -60,6 +60,11 @@ class Vocabulary:
         self.slots[slot] = np.arange(len(slot))
         self.slots[np.bincount(slot, minlength=1 << 16) > 1] = -2
 
+    @property
+    def kind(self) -> str:
+        """How ids are written."""
+        return "<u2" if self.size < 1 << 16 else "<u4"
+
     def ids(self, h: np.ndarray) -> np.ndarray:
         out = self.n_frequent + (h >> U64(33)).astype(np.int64) % self.n_hashed
         if len(self.sorted):
@@ -84,11 +89,11 @@ def _order(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 class Network:
-    """Parameters as one flat float32 array."""
+    """Parameters as one flat float32 array; a last hidden unit that is always 1 carries the biases of the outputs."""
 
     def __init__(self, flat: np.ndarray | None = None, seed: int = 5, size: int = SIZE):
         self.classes = size // CLASS
-        shapes = (("embed", (len(REACH), size + 1, HIDDEN)), ("bias", (HIDDEN,)), ("to_class", (HIDDEN, self.classes)), ("class_bias", (self.classes,)), ("to_word", (self.classes, HIDDEN, CLASS)), ("word_bias", (self.classes, CLASS)))
+        shapes = (("embed", (len(REACH), size + 1, HIDDEN)), ("bias", (HIDDEN,)), ("to_class", (HIDDEN + 1, self.classes)), ("to_word", (self.classes, HIDDEN + 1, CLASS)))
         n = sum(int(np.prod(s)) for _, s in shapes)
         self.flat = np.random.default_rng(seed).normal(0, 0.1, n).astype(np.float32) if flat is None else flat.copy()
         self.view, at = {}, 0
@@ -96,13 +101,17 @@ class Network:
             n = int(np.prod(shape))
             self.view[name] = self.flat[at : at + n].reshape(shape)
             at += n
+        self.view["word_bias"] = self.view["to_word"][:, HIDDEN]
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         e = self.view["embed"]
-        total = e[0][context[:, 0]]
+        total = e[0].take(context[:, 0], 0)
         for i in range(1, len(REACH)):
-            total += e[i][context[:, i]]
-        return np.tanh(total + self.view["bias"])
+            total += e[i].take(context[:, i], 0)
+        total += self.view["bias"]
+        out = np.ones((len(total), HIDDEN + 1), np.float32)
+        np.tanh(total, out=out[:, :HIDDEN])
+        return out
 
     def forward(self, context: np.ndarray, word: np.ndarray):
         """Log-probabilities, and what a step of training needs."""
@@ -114,70 +123,64 @@ class Network:
         rows = np.arange(len(word))
         ones = np.ones((max(self.classes, CLASS), 1), np.float32)
 
-        def normed(x: np.ndarray) -> np.ndarray:
+        def weights(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             np.minimum(x, 60, out=x)  # far from what such weights reach; exp stays finite
             np.exp(x, out=x)
-            x *= 1 / (x @ ones[: x.shape[1]] + 1e-30)
-            return x
+            return x, x @ ones[: x.shape[1]] + 1e-30
 
-        pc = normed(h @ v["to_class"] + v["class_bias"])
-        sorted_h = h[order]
+        pc, all_classes = weights(h @ v["to_class"])
+        sorted_h = h.take(order, 0)
         pw = np.empty((len(word), CLASS), np.float32)
         for k in range(self.classes):
             a, b = bounds[k], bounds[k + 1]
             if a < b:
                 np.matmul(sorted_h[a:b], v["to_word"][k], out=pw[a:b])
-                pw[a:b] += v["word_bias"][k]
-        pw = normed(pw)
+        pw, all_words = weights(pw)
         inner = np.empty(len(word), np.float32)
-        inner[order] = pw[rows, word[order] % CLASS]
-        return np.log(pc[rows, cls] + 1e-30) + np.log(inner + 1e-30), (h, pc, pw, order, bounds, cls)
+        inner[order] = pw[rows, word.take(order) % CLASS] / all_words[:, 0]
+        return np.log(pc[rows, cls] / all_classes[:, 0] + 1e-30) + np.log(inner + 1e-30), (h, sorted_h, pc, all_classes, pw, all_words, order, bounds, cls)
 
     def step(self, context: np.ndarray, word: np.ndarray, rate: float) -> None:
         v, n = self.view, len(word)
-        _, (h, pc, pw, order, bounds, cls) = self.forward(context, word)
+        _, (h, sorted_h, pc, all_classes, pw, all_words, order, bounds, cls) = self.forward(context, word)
         gc = pc
+        gc /= all_classes
         gc[np.arange(n), cls] -= 1
         gw = pw
+        gw /= all_words
         gw[np.arange(n), word[order] % CLASS] -= 1
         gh = gc @ v["to_class"].T
-        sorted_h, gs = h[order], np.empty_like(h)
+        gs = np.empty_like(h)
         for k in range(self.classes):
             a, b = bounds[k], bounds[k + 1]
             if a < b:
                 gs[a:b] = gw[a:b] @ v["to_word"][k].T
                 v["to_word"][k] -= rate / n * (sorted_h[a:b].T @ gw[a:b])
-                v["word_bias"][k] -= rate / n * gw[a:b].sum(0)
         gh[order] += gs
         v["to_class"] -= rate / n * (h.T @ gc)
-        v["class_bias"] -= rate / n * gc.sum(0)
-        gh *= 1 - h**2
-        v["bias"] -= rate / n * gh.sum(0)
-        gh *= -rate / n
+        h *= h
+        gh *= 1 - h
+        gh = gh[:, :HIDDEN] * np.float32(-rate / n)
+        v["bias"] += gh.sum(0)
         for i in range(len(REACH)):
             at = _order(context[:, i], self.classes * CLASS + 1)
-            token = context[at, i]
+            token = context[:, i].take(at)
             first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            v["embed"][i][token[first]] += np.add.reduceat(gh[at], first)
-
-
-def context_of(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, none: int = SIZE) -> np.ndarray:
-    """Ids at the neighbouring places; ``none`` where the document has none."""
-    return contexts(ids, doc, none)[at]
+            v["embed"][i][token[first]] += np.add.reduceat(gh.take(at, 0), first)
 
 
 def contexts(ids: np.ndarray, doc: np.ndarray, none: int) -> np.ndarray:
-    """Neighbouring ids of every place."""
-    out = np.full((len(ids), len(REACH)), none)
+    """Ids at the neighbouring places of every place, each distance contiguous; ``none`` where the document has none."""
+    out = np.full((len(REACH), len(ids)), none)
     for i, d in enumerate(REACH):
         n = abs(d)
         if n < len(ids):
             same = doc[n:] == doc[:-n]
             if d > 0:
-                out[:-n, i] = np.where(same, ids[n:], none)
+                out[i, :-n] = np.where(same, ids[n:], none)
             else:
-                out[n:, i] = np.where(same, ids[:-n], none)
-    return out
+                out[i, n:] = np.where(same, ids[:-n], none)
+    return out.T
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -230,34 +233,52 @@ def turns(place: np.ndarray, turn: int, rounds: int, mask: int) -> list[np.ndarr
     return [np.flatnonzero(own == residue) for residue in range(turn % mask, mask, rounds)]
 
 
+def numbered(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The ids of every document's words, as bytes: written once, read by every round of training."""
+    known = vocabulary.alone()
+    kind = known.kind
+
+    def run(batches):
+        for chunk in chunks(batches, most=2 << 20):
+            words = chunk.words(lower=True)
+            ids = known.ids(words.hash).astype(kind)
+            ends = (words.first * ids.itemsize).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(chunk), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([id_array(chunk.ids), packed], ["doc_id", "ids"])
+
+    return cut(docs.mapInArrow(run, "doc_id long, ids binary"), "ids")
+
+
 def train(docs: DataFrame, rounds: int = 2, mask: int = 8, rate: float = 1.0, batch_size: int = 8192) -> tuple[Vocabulary, Network]:
     """A vocabulary and a network from all words of all documents; one word in ``mask`` is predicted at a time."""
     vocabulary = vocabulary_of(docs)
-    network, known = Network(size=vocabulary.size), vocabulary.alone()
+    network, size, kind = Network(size=vocabulary.size), vocabulary.size, vocabulary.kind
+    read = numbered(docs, vocabulary)
     piece = -(-len(network.flat) // 16)
 
     for turn in range(rounds):
         start = network.flat
 
         def run(batches, start=start, turn=turn):
-            own, seen = Network(start, size=known.size), 0
-            for chunk in chunks(batches, most=2 << 20):
-                words = chunk.words(lower=True)
-                ids = known.ids(words.hash)
-                around = contexts(ids, words.doc, known.size)
-                for at in turns(np.arange(len(ids)) - words.first[words.doc], turn, rounds, mask):
-                    context = around[at]
+            own, seen = Network(start, size=size), 0
+            for chunk in chunks(batches, text_col="ids"):
+                ids, first = chunk.data.view(kind).astype(np.int64), chunk.offsets // np.dtype(kind).itemsize
+                doc = np.repeat(np.arange(len(chunk)), np.diff(first))
+                around = contexts(ids, doc, size)
+                for at in turns(np.arange(len(ids)) - first[doc], turn, rounds, mask):
                     for i in range(0, len(at), batch_size):
-                        own.step(context[i : i + batch_size], ids[at[i : i + batch_size]], rate)
+                        some = at[i : i + batch_size]
+                        own.step(around.T.take(some, 1).T, ids[some], rate)
                     seen += len(at)
             if seen:
                 part = [own.flat[i : i + piece] for i in range(0, len(own.flat), piece)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(part), pa.int32()), pa.array([seen] * len(part), pa.int64()), pa.array([p.tobytes() for p in part], pa.binary())], ["piece", "task", "seen", "values"])
 
-        copies = docs.mapInArrow(run, "piece int, task int, seen long, values binary")
+        copies = read.mapInArrow(run, "piece int, task int, seen long, values binary")
         rows = _averaged(copies)
         if rows:
-            network = Network(np.concatenate([r for _, r in sorted(rows.items())]), size=vocabulary.size)
+            network = Network(np.concatenate([r for _, r in sorted(rows.items())]), size=size)
+    release(read)
     return vocabulary, network
 
 
