@@ -569,8 +569,10 @@ def _(spark, d):
 
 @query("sink_index_optimize", f"SELECT doc_id AS doc, term, freq FROM {POST} WHERE term = 'that'")
 def _(spark, d):
+    """A segment of the index for each part of the documents: their texts are shuffled, not their postings."""
     where = _saved(spark, d) + "-index"
-    _index(spark, d).postings.where("field = 'text'").repartition(8).write.mode("overwrite").parquet(where)
+    index = ft.build(_english(spark, d).repartition("doc_id"), "doc_id", {"text": "text", "source": "keyword"})
+    index.postings.where("field = 'text'").write.mode("overwrite").parquet(where)
     ft.compact(where, spark, 1)
     return spark.read.parquet(where + ".compact").where("term = 'that'").select("doc", "term", "freq")
 

@@ -47,7 +47,8 @@ def build(docs: DataFrame, key: str, fields: dict[str, str]) -> Index:
     rows = docs.select(F.col(key).alias("doc"), F.explode(F.array(*terms)).alias("f")).select("doc", "f.*").where("terms is not null")
     lengths = rows.select("doc", "field", F.size("terms").alias("n_tokens")).withColumn("norm", norm(F.col("n_tokens")))
     flat = rows.select("doc", "field", F.posexplode("terms").alias("pos", "term"))
-    postings = flat.groupBy("field", "term", "doc").agg(F.count("*").alias("freq"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    # the term leads the key: rows are sorted by its first bytes, and a field's name would tie them all
+    postings = flat.groupBy("term", "doc", "field").agg(F.count("*").alias("freq"), F.array_sort(F.collect_list("pos")).alias("positions")).select("field", "term", "doc", "freq", "positions")
     kept = [c for c, kind in fields.items() if kind in ("stored", "keyword")]
     return Index(postings, lengths, docs.count(), docs.select(F.col(key).alias("doc"), *kept))
 
@@ -152,6 +153,10 @@ def linear(docs: DataFrame, column: str, text: str, regex: bool = False) -> Data
     return docs.where(F.col(column).rlike(text) if regex else F.contains(F.col(column), F.lit(text)))
 
 
-def compact(path: str, spark, files: int) -> None:
-    """Rewrites many small files of an index as a few, beside the old ones until it is done."""
-    spark.read.parquet(path).repartition(files).write.mode("overwrite").parquet(path.rstrip("/") + ".compact")
+def compact(path: str, spark, files: int, most: int = 128 << 20) -> None:
+    """Rewrites many small files of an index as a few, beside the old ones until it is done: ``files`` at most, but about one for each ``most`` bytes.
+
+    Tasks read neighbouring files and write them as one, so nothing is shuffled, and what a task reads doesn't grow with the index."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(where).getLength()
+    spark.read.parquet(path).coalesce(max(files, -(-size // most))).write.mode("overwrite").parquet(path.rstrip("/") + ".compact")

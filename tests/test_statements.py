@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillon import model, schema
 from quillon.functions import text as tx
 from quillon.functions import xpath as xp
+from quillon.operators import fulltext as ft
 from quillon.operators import rules, scan
 from quillon.operators import update as up
 from quillon.plans.objects import Objects, Parser
@@ -175,3 +176,31 @@ def test_source_round_trip(spark, tmp_path):
         assert {tuple(r)[:4] for r in store.load(str(tmp_path / kind)).collect()} == {("a", P, "x", "L"), ("b", P, "y", "en")}
     model.mirror(st, str(tmp_path / "m1"), str(tmp_path / "m2"))
     assert spark.read.parquet(str(tmp_path / "m2")).count() == 2
+
+
+def test_compaction_makes_more_files_of_a_larger_index(spark, tmp_path):
+    """Files, and with them what one task reads, stay of one size."""
+    where = tmp_path / "index"
+    rows = spark.range(6000).select((F.col("id") % 7).cast("string").alias("term"), F.col("id").alias("doc"), F.sha1(F.col("id").cast("string")).alias("x"))
+    rows.repartition(12).write.parquet(str(where))
+    size, new = sum(p.stat().st_size for p in where.glob("part-*")), tmp_path / "index.compact"
+    for most, least, greatest in ((128 << 20, 1, 1), (size // 3, 3, 4)):
+        ft.compact(str(where), spark, 1, most)
+        files = [p.stat().st_size for p in new.glob("part-*")]
+        assert least <= len(files) <= greatest and max(files) < 2 * most
+        assert sorted(map(tuple, spark.read.parquet(str(new)).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_index_query_reads_no_fixed_number_of_tasks(spark, tmp_path, monkeypatch):
+    """Neither the segments nor the compacted index are dealt to a number of tasks that the code names."""
+    from quillon import catalog
+
+    dealt = []
+    for name in ("repartition", "repartitionByRange"):
+        kind = type(spark.range(0))
+        monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name): (dealt.append(a), f(self, *a))[1])
+    texts = ["That that is, is.", "not THAT one", None, "", "this"]
+    spark.createDataFrame([(i, t, "s") for i, t in [*enumerate(texts), (0, "and that")]], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.queries()["sink_index_optimize"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(0, "that", 3), (1, "that", 1)]
+    assert not [a for a in dealt if isinstance(a[0], int)]
