@@ -142,6 +142,29 @@ def test_kernels(spark):
     assert one(spark, tx.bits_alike(F.lit("0" * 64), F.lit("f" * 64))) == -128
 
 
+def test_kernels_hold_no_results_of_a_whole_batch(spark):
+    """200 results of 1 MB in one batch: what the worker holds doesn't grow with them."""
+
+    def held(*_):
+        with open("/proc/self/statm") as f:
+            return f.read().split()[1].rjust(1 << 20)
+
+    rows = spark.range(200).select(F.col("id").cast("string").alias("a"), F.lit("b").alias("b")).coalesce(1)
+    for made in (tx.each(held)("a"), tx.each_pair(held)("a", "b")):
+        pages = [int(r.v) for r in rows.select(F.trim(made).alias("v")).collect()]
+        assert len(pages) == 200 and (max(pages) - pages[0]) * 4096 < 60 << 20
+
+
+def test_kernels_keep_rows_in_place(spark):
+    """Nulls, empty texts and texts longer than a piece, in more than one batch."""
+    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else f"<p onclick=x>{i}</p><script>x</script>" + "\u4e2d" * (2_000_000 if i == 10_500 else 600 * (i % 50 == 0)) for i in range(12_000)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i > 9_000 or i % 3], "id long, text string").coalesce(1).withColumn("new", F.concat("text", F.lit("\nz")))
+    both = rows.withColumn("ops", tx.diff_json("text", "new")).select("id", tx.sanitised(F.col("text")).alias("clean"), (tx.patch_json("text", "ops") == F.col("new")).alias("same"))
+    got = {r.id: (r.clean, r.same) for r in both.collect()}
+    want = {i: (None, None) if t is None else (tx.Cleaner().done(t), True) for i, t in enumerate(texts) if i > 9_000 or i % 3}
+    assert got == want
+
+
 def test_rules(spark):
     st = model.statements(spark, [("a", P, "x"), ("b", P, "x"), ("b", P, "y")])
     assert {(r.s, r.rule) for r in rules.violations(st, P, unique=True, at_most=1).collect()} == {("a", "unique"), ("b", "unique"), ("b", "cardinality")}
