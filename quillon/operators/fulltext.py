@@ -154,9 +154,15 @@ def linear(docs: DataFrame, column: str, text: str, regex: bool = False) -> Data
 
 
 def compact(path: str, spark, files: int, most: int = 128 << 20) -> None:
-    """Rewrites many small files of an index as a few, beside the old ones until it is done: ``files`` at most, but about one for each ``most`` bytes.
-
-    Tasks read neighbouring files and write them as one, so nothing is shuffled, and what a task reads doesn't grow with the index."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(where).getLength()
-    spark.read.parquet(path).coalesce(max(files, -(-size // most))).write.mode("overwrite").parquet(path.rstrip("/") + ".compact")
+    """Rewrites many small files of an index as a few, beside the old ones until it is done: about ``files``, but none of more than ``most`` bytes.
+
+    Spark packs the files by size into tasks, which write what they read, so nothing is shuffled, and what a task reads doesn't grow with the index."""
+    packing = {"maxPartitionBytes": most, "openCostInBytes": most // 1024, "minPartitionNum": files}
+    before = {f"spark.sql.files.{k}": spark.conf.get(f"spark.sql.files.{k}", None) for k in packing}
+    try:
+        for k, v in packing.items():
+            spark.conf.set(f"spark.sql.files.{k}", str(v))
+        spark.read.parquet(path).write.mode("overwrite").parquet(path.rstrip("/") + ".compact")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

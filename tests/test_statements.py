@@ -214,6 +214,21 @@ def test_compaction_makes_more_files_of_a_larger_index(spark, tmp_path):
         assert sorted(map(tuple, spark.read.parquet(str(new)).collect())) == sorted(map(tuple, rows.collect()))
 
 
+def test_compaction_packs_large_and_tiny_files_by_size(spark, tmp_path):
+    """Many tiny files beside large ones don't bring the large ones into one task; the session's settings stay."""
+    where, keys = tmp_path / "index", [f"spark.sql.files.{k}" for k in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum")]
+    rows = spark.range(8000).select("id", F.sha1(F.col("id").cast("string")).alias("x"))
+    rows.where("id >= 60").repartition(4).write.parquet(str(where))
+    most = max(p.stat().st_size for p in where.glob("part-*"))
+    rows.where("id < 60").repartition(60, "id").write.mode("append").option("maxRecordsPerFile", 1).parquet(str(where))
+    before = [spark.conf.get(k, None) for k in keys]
+    ft.compact(str(where), spark, 1, most)
+    files = [p.stat().st_size for p in (tmp_path / "index.compact").glob("part-*")]
+    assert len(list(where.glob("part-*"))) >= 64 and 4 <= len(files) <= 6 and max(files) < 1.2 * most
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "index.compact")).collect()) == list(range(8000))
+    assert [spark.conf.get(k, None) for k in keys] == before
+
+
 def test_index_query_reads_no_fixed_number_of_tasks(spark, tmp_path, monkeypatch):
     """Neither the segments nor the compacted index are dealt to a number of tasks that the code names."""
     from quillon import catalog
